@@ -165,6 +165,9 @@ def _group_table(
 ) -> DataFrame:
     types = data_types(df)
     values = {c: quiet_nan(quoted(c), types[c]) for c, _ in features.values()}
+    for c, value in values.items():
+        if isinstance(types[c], T.BooleanType):
+            values[c] = value.cast("int")
     exprs, medians = [F.count(F.lit(1)).alias(GROUP_ROWS)], {}
     for feature, (column, function) in features.items():
         if function in MEDIAN_NAMES:
