@@ -81,6 +81,9 @@ class NumericCleaner:
     def report(self, df: DataFrame) -> DataFrame:
         """One row per column: cells lost to coercion and cells lost for being negative."""
         steps = self._steps(df)
+        if not steps:
+            empty = "column string, coerced bigint, negatives_nulled bigint"
+            return df.sparkSession.createDataFrame([], empty)
         rows = F.array(
             *[
                 F.struct(

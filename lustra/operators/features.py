@@ -151,7 +151,9 @@ def fit_group_features(
     lookups: list[Lookup] = []
     current = df
     for group, features in batches:
-        lookup = build_lookup(_group_table(current, group, features, order_by), group)
+        used = {group, *(column for column, _ in features.values())}
+        source = df if used <= set(df.columns) else current
+        lookup = build_lookup(_group_table(source, group, features, order_by), group)
         lookups.append(lookup)
         current = lookup.attach(current)
     return GroupFeatures(lookups)

@@ -49,6 +49,18 @@ class OutlierModel:
     bounds: tuple[Bounds, ...]
     cap: bool
 
+    def report(self, df: DataFrame) -> DataFrame:
+        """One row per column: values beyond its bounds in ``df``."""
+        types = data_types(df)
+        rows = []
+        for b in self.bounds:
+            number = as_number(b.column, types[b.column])
+            outside = F.count_if(b.is_low(number) | b.is_high(number))
+            rows.append(F.struct(F.lit(b.column).alias("column"), outside.alias("outliers")))
+        if not rows:
+            return df.sparkSession.createDataFrame([], "column string, outliers bigint")
+        return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
     def transform(self, df: DataFrame) -> DataFrame:
         types = data_types(df)
         present = [b for b in self.bounds if b.column in types]

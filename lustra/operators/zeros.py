@@ -63,6 +63,11 @@ class ZeroRepairs:
 
     repairs: list[ZeroRepair] = field(default_factory=list)
 
+    @property
+    def shuffles(self) -> bool:
+        """Whether the transform joins a group table too large to broadcast."""
+        return any(r.group_means and not r.group_means.broadcastable for r in self.repairs)
+
     def transform(self, df: DataFrame) -> DataFrame:
         for repair in self.repairs:
             df = repair.transform(df)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lustra.functions.columns import numeric_columns, text_columns
@@ -28,7 +28,7 @@ from lustra.operators.encoding import fit_labels, fit_onehot
 from lustra.operators.features import datetime_features, fit_group_features, select_features
 from lustra.operators.missing import drop_missing, fit_fill
 from lustra.operators.ordered_fill import fit_ordered_fill
-from lustra.operators.outliers import DEFAULT_FACTOR, fit_outliers
+from lustra.operators.outliers import DEFAULT_FACTOR, OutlierModel, fit_outliers
 from lustra.operators.profile import duplicate_rows, merge_single_rows, missing_cells
 from lustra.operators.scaling import fit_scaler
 from lustra.plans.spec import ZERO_STEP, is_on, normalize_spec
@@ -36,6 +36,22 @@ from lustra.operators.zeros import fit_invalid_zeros
 from lustra.session import materialize
 from lustra.sources import ROW_ORDER, read_table, write_table
 
+OUTLIER_STEPS = ("outliers", "remove_outliers")
+# The counters of a run.
+SUMMARY_COLUMNS = (
+    "initial_rows",
+    "initial_columns",
+    "initial_missing",
+    "initial_duplicates",
+    "final_rows",
+    "final_columns",
+    "missing_values_handled",
+    "duplicates_removed",
+    "outliers_handled",
+    "numeric_columns_validated",
+    "text_columns_cleaned",
+    "type_coercions",
+)
 MISSING_STRATEGIES = {"forward_fill": "forward", "backward_fill": "backward"}
 
 
@@ -113,9 +129,7 @@ class QualityRun:
         if is_on(self.spec["pipeline"], "preprocessing"):
             prepared = self._prepare(cleaned, order, hidden, result.models)
         result.data = prepared.drop(*hidden)
-        result.summary = self._summary(
-            df.drop(*hidden), cleaned.drop(*hidden), result.data
-        )
+        result.summary = _summary(df.drop(*hidden), stages, hidden, result)
         result.steps = _row_counts(stages)
         return result
 
@@ -162,10 +176,10 @@ class QualityRun:
                 stages[-1] = Stage(latest.name, materialize(latest.data, latest.name))
             return stages[-1].data
 
-        def fit_and_add(name: str, fit: Callable[[DataFrame], Any], shuffles: bool = False) -> None:
+        def fit_and_add(name: str, fit: Callable[[DataFrame], Any]) -> None:
             source = settled()
-            models[name] = fit(_hide(source, hidden))
-            add(name, models[name].transform(source), shuffles)
+            model = models[name] = fit(source.drop(*hidden))
+            add(name, model.transform(source), getattr(model, "shuffles", False))
 
         add("drop_empty_rows", drop_empty_rows(blanks_to_null(df), ignore=hidden))
         if is_on(cleaning, ZERO_STEP):
@@ -271,50 +285,68 @@ class QualityRun:
             df = models["aggregate_features"].transform(df)
         return df
 
-    @staticmethod
-    def _summary(raw: DataFrame, cleaned: DataFrame, final: DataFrame) -> DataFrame:
-        """One row of counters from one pass over each of the three tables.
 
-        ``duplicates_removed`` counts every row lost in cleaning; the true count per step is
-        in the step report.
-        """
+def _summary(
+    raw: DataFrame, stages: Sequence[Stage], hidden: Sequence[str], result: RunResult
+) -> DataFrame:
+    """One row of counters, each table counted in one pass.
 
-        def fixed(value: int):
-            return F.lit(value).cast("bigint")
+    ``duplicates_removed`` counts every row lost in cleaning; the true count per step is in
+    the step report.
+    """
 
-        before = raw.agg(
+    def fixed(value: int) -> Column:
+        return F.lit(value).cast("bigint")
+
+    cleaned = stages[-1].data.drop(*hidden)
+    was_cleaned = len(stages) > 1
+    inputs = {after.name: before.data for before, after in zip(stages, stages[1:], strict=False)}
+    parts = [
+        raw.agg(
             F.count(F.lit(1)).alias("initial_rows"),
             fixed(len(raw.columns)).alias("initial_columns"),
             missing_cells(raw).alias("initial_missing"),
-        )
-        after = cleaned.agg(
+        ),
+        duplicate_rows(raw).withColumnRenamed("duplicate_rows", "initial_duplicates"),
+        cleaned.agg(
             F.count(F.lit(1)).alias("cleaned_rows"),
             missing_cells(cleaned).alias("cleaned_missing"),
-            fixed(len(numeric_columns(cleaned))).alias("numeric_columns_validated"),
-            fixed(len(text_columns(cleaned))).alias("text_columns_cleaned"),
-        )
-        doubles = duplicate_rows(raw).withColumnRenamed("duplicate_rows", "initial_duplicates")
-        end = final.agg(
+            fixed(len(numeric_columns(cleaned)) if was_cleaned else 0).alias(
+                "numeric_columns_validated"
+            ),
+            fixed(len(text_columns(cleaned)) if was_cleaned else 0).alias("text_columns_cleaned"),
+            # Kept at 0 where the step was off.
+            fixed(0).alias("outliers_handled"),
+            fixed(0).alias("type_coercions"),
+        ),
+        result.data.agg(
             F.count(F.lit(1)).alias("final_rows"),
-            fixed(len(final.columns)).alias("final_columns"),
-        )
-        merged = merge_single_rows([before, doubles, after, end])
-        return merged.select(
-            "initial_rows",
-            "initial_columns",
-            "initial_missing",
-            "initial_duplicates",
-            "final_rows",
-            "final_columns",
-            (F.col("initial_missing") - F.col("cleaned_missing")).alias("missing_values_handled"),
-            (F.col("initial_rows") - F.col("cleaned_rows")).alias("duplicates_removed"),
-            "numeric_columns_validated",
-            "text_columns_cleaned",
-        )
-
-
-def _hide(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
-    return df.drop(*hidden) if hidden else df
+            fixed(len(result.data.columns)).alias("final_columns"),
+        ),
+    ]
+    for name, model in result.models.items():
+        if name == "clean_numeric":
+            lost = model.report(inputs[name])
+            total = F.sum(F.col("coerced") + F.col("negatives_nulled"))
+            parts.append(lost.agg(total.alias("type_coercions")))
+        elif name in OUTLIER_STEPS:
+            parts.append(_outlier_count(model, inputs[name], stages, name))
+    merged = merge_single_rows(parts)
+    handled = F.col("initial_missing") - F.col("cleaned_missing")
+    removed = F.col("initial_rows") - F.col("cleaned_rows")
+    derived = {"missing_values_handled": handled, "duplicates_removed": removed}
+    return merged.select(*[derived.get(c, F.col(c)).alias(c) for c in SUMMARY_COLUMNS])
+
+
+def _outlier_count(
+    model: OutlierModel, before: DataFrame, stages: Sequence[Stage], name: str
+) -> DataFrame:
+    """Capped cells, or rows the step removed."""
+    if model.cap:
+        return model.report(before).agg(F.sum("outliers").alias("outliers_handled"))
+    after = next(s.data for s in stages if s.name == name)
+    change = before.select(F.lit(1).alias("n")).unionAll(after.select(F.lit(-1).alias("n")))
+    return change.agg(F.sum("n").alias("outliers_handled"))
 
 
 def _row_counts(stages: Sequence[Stage]) -> DataFrame:
