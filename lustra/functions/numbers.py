@@ -8,15 +8,19 @@ from pyspark.sql import types as T
 
 from lustra.functions.text import quoted, trim_text
 
-# Fixed value: the number grammar. Spark's own cast would also take "1.0d", "1f" and
-# hexadecimal floats, which count as text here, so the cast is guarded by this pattern.
-NUMBER_PATTERN = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+# Fixed value: the number grammar, with whitespace around it. Spark's own cast would also
+# take "1.0d", "1f" and hexadecimal floats, which count as text here, so the cast is guarded.
+NUMBER_PATTERN = (
+    r"(?iU)^[\s\x1c-\x1f]*"
+    r"[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)"
+    r"[\s\x1c-\x1f]*$"
+)
 
 
 def parse_number(column: Column | str) -> Column:
     """Text to double; anything outside the grammar becomes null."""
-    text = trim_text(column)
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    text = quoted(column) if isinstance(column, str) else column
+    return F.when(text.rlike(NUMBER_PATTERN), trim_text(text).try_cast("double"))
 
 
 def quiet_nan(column: Column, data_type: T.DataType) -> Column:

@@ -157,8 +157,14 @@ def fit_numeric_cleaner(df: DataFrame, columns: Sequence[str] | None = None) ->
     ]
     if not affected:
         return NumericCleaner(())
-    found = numeric_detection(df, affected).filter("is_numeric").select("column").collect()
-    return NumericCleaner(tuple(row["column"] for row in found))
+    types = data_types(df)
+    seen = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(numbers.as_number(c, types[c])).alias(f"n{i}") for i, c in enumerate(affected)],
+    ).first()
+    return NumericCleaner(
+        tuple(c for i, c in enumerate(affected) if seen[f"n{i}"] > seen["rows"] * MAJORITY)
+    )
 
 
 def clean_numeric_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -195,10 +195,12 @@ def fit_ordered_fill(
     wanted = [c for c in wanted if c not in set(order)]
     types = data_types(df)
     position = order_position(order[0], types[order[0]])
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    sketched = df.agg(
+    # As text, since a column object per grid point would take seconds to build.
+    grid = ", ".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS))
+    sketch = f"percentile_approx({POSITION}, array({grid}), {SKETCH_ACCURACY})"
+    sketched = df.withColumn(POSITION, position).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.percentile_approx(position, grid, SKETCH_ACCURACY).alias("grid"),
+        F.expr(sketch).alias("grid"),
         *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(wanted)],
     ).first()
     rows, quantiles = sketched["rows"], sketched["grid"] or []

@@ -162,12 +162,13 @@ def _measure(
     present: DataFrame, probabilities: Sequence[float], brackets: DataFrame | None, steps: int
 ) -> DataFrame:
     """Per key and probability: rows below and inside the bracket, and a grid over the inside."""
-    grid = [i / steps for i in range(steps + 1)]
+    # As text, since a column object per grid point would take long to build.
+    grid = "array({})".format(", ".join(f"{i / steps!r}D" for i in range(steps + 1)))
     if brackets is None:
         whole = present.groupBy("key").agg(
             F.count("value").alias("inside"),
             F.approx_count_distinct("value").alias("values_inside"),
-            F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("grid"),
+            F.expr(f"percentile_approx(value, {grid}, {SKETCH_ACCURACY})").alias("grid"),
         )
         positions = F.array(
             *[
@@ -190,19 +191,21 @@ def _measure(
                 "grid",
                 F.lit(float("-inf")).alias("old_low"),
                 F.lit(float("inf")).alias("old_high"),
+                F.lit(0).alias("misses"),
             )
         )
     inside = F.col("value").between(F.col("low"), F.col("high"))
-    wanted = brackets.select("key", "part", "position", "low", "high")
+    wanted = brackets.drop("most_values")
     return (
         present.join(F.broadcast(wanted), "key")
-        .groupBy("key", "part", "position", "low", "high")
+        .groupBy(*wanted.columns)
         .agg(
             F.count_if(F.col("value") < F.col("low")).alias("below"),
             F.count_if(inside).alias("inside"),
             F.approx_count_distinct(F.when(inside, F.col("value"))).alias("values_inside"),
-            F.percentile_approx(
-                F.when(inside, F.col("value")), grid, SKETCH_ACCURACY
+            F.expr(
+                "percentile_approx(case when value between low and high then value end, "
+                f"{grid}, {SKETCH_ACCURACY})"
             ).alias("grid"),
         )
         .withColumnsRenamed({"low": "old_low", "high": "old_high"})
@@ -212,20 +215,24 @@ def _measure(
 def _shrink(measured: DataFrame, steps: int) -> DataFrame:
     """The next bracket, checked against the exact counts.
 
-    If the wanted ranks turn out to lie outside, the bracket is opened on that side, so an
-    unlucky sketch costs a pass and never a wrong answer.
+    If the wanted ranks turn out to lie outside, the bracket is opened on that side and its
+    next margin is wider, so an unlucky sketch costs passes and never a wrong answer.
     """
     first = F.floor("position")
     last = F.ceil("position")
     in_bracket = (F.col("below") <= first) & (last < F.col("below") + F.col("inside"))
-    at_first = F.floor((first - F.col("below")) / F.col("inside") * steps) - GRID_MARGIN
-    at_last = F.ceil((last + 1 - F.col("below")) / F.col("inside") * steps) + GRID_MARGIN
+    margin = F.lit(GRID_MARGIN) * (1 + F.col("misses"))
+    # A bracket that missed can be empty; its steps are not used then.
+    inside = F.nullif(F.col("inside"), F.lit(0))
+    at_first = F.floor((first - F.col("below")) / inside * steps) - margin
+    at_last = F.ceil((last + 1 - F.col("below")) / inside * steps) + margin
     low_step = F.greatest(at_first, F.lit(0)).cast("int")
     high_step = F.least(at_last, F.lit(steps)).cast("int")
     infinity = F.lit(float("inf"))
     moved = measured.select(
         "*",
         in_bracket.alias("in_bracket"),
+        (F.col("misses") + F.when(in_bracket, 0).otherwise(1)).alias("next_misses"),
         ((high_step - low_step + 2) / F.lit(steps)).alias("share"),
         F.when(in_bracket, F.get("grid", low_step))
         .when(F.col("below") > first, -infinity)
@@ -245,7 +252,15 @@ def _shrink(measured: DataFrame, steps: int) -> DataFrame:
         )
         .otherwise(infinity)
     )
-    return moved.select("key", "part", "position", "low", "high", most_values.alias("most_values"))
+    return moved.select(
+        "key",
+        "part",
+        "position",
+        "low",
+        "high",
+        F.col("next_misses").alias("misses"),
+        most_values.alias("most_values"),
+    )
 
 
 def _read_ranks(present: DataFrame, brackets: DataFrame) -> DataFrame:

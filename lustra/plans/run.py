@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,15 +66,25 @@ class Stage:
 
 @dataclass
 class RunResult:
-    """The prepared table and its reports. All reports are lazy tables."""
+    """The prepared table and its reports. All reports are lazy tables, built on demand."""
 
+    raw: DataFrame
     data: DataFrame
+    stages: list[Stage] = field(default_factory=list)
     validation: DataFrame | None = None
     validation_before: DataFrame | None = None
-    summary: DataFrame | None = None
-    steps: DataFrame | None = None
     models: dict[str, Any] = field(default_factory=dict)
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        """One row with the counters of the run."""
+        return _summary(self)
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """One row per cleaning step: rows after it."""
+        return _row_counts(self.stages)
+
 
 class QualityRun:
     """Runs one description on any number of tables."""
@@ -112,10 +122,10 @@ class QualityRun:
         order = [order_by] if isinstance(order_by, str) else list(order_by or ())
         hidden = [c for c in bookkeeping if c in df.columns]
         strict = self.spec["pipeline"].get("strict_validation", False)
-        result = RunResult(df.drop(*hidden))
+        result = RunResult(df.drop(*hidden), df.drop(*hidden))
 
         if self.spec["pipeline"].get("validate_before_cleaning", False):
-            result.validation_before = self._validate(df.drop(*hidden), strict)
+            result.validation_before = self._validate(result.raw, strict)
 
         stages = [Stage("input", df)]
         if is_on(self.spec["pipeline"], "cleaning"):
@@ -129,8 +139,7 @@ class QualityRun:
         if is_on(self.spec["pipeline"], "preprocessing"):
             prepared = self._prepare(cleaned, order, hidden, result.models)
         result.data = prepared.drop(*hidden)
-        result.summary = _summary(df.drop(*hidden), stages, hidden, result)
-        result.steps = _row_counts(stages)
+        result.stages = [Stage(s.name, s.data.drop(*hidden)) for s in stages]
         return result
 
     def _needs_order(self) -> bool:
@@ -286,9 +295,7 @@ class QualityRun:
         return df
 
 
-def _summary(
-    raw: DataFrame, stages: Sequence[Stage], hidden: Sequence[str], result: RunResult
-) -> DataFrame:
+def _summary(result: RunResult) -> DataFrame:
     """One row of counters, each table counted in one pass.
 
     ``duplicates_removed`` counts every row lost in cleaning; the true count per step is in
@@ -298,7 +305,8 @@ def _summary(
     def fixed(value: int) -> Column:
         return F.lit(value).cast("bigint")
 
-    cleaned = stages[-1].data.drop(*hidden)
+    raw, stages = result.raw, result.stages
+    cleaned = stages[-1].data
     was_cleaned = len(stages) > 1
     inputs = {after.name: before.data for before, after in zip(stages, stages[1:], strict=False)}
     parts = [
