@@ -76,7 +76,7 @@ def fit_labels(df: DataFrame, columns: Sequence[str]) -> LabelEncoder:
         codes = label_codes(df, column).withColumnsRenamed(
             {"class": key, "code": f"_code_of_{column}"}
         )
-        lookups[column] = build_lookup(codes, key, label="label-codes")
+        lookups[column] = build_lookup(codes, key, written=True)
     return LabelEncoder(lookups)
 
 

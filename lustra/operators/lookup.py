@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,25 +68,35 @@ class Lookup:
         )
 
 
+def row_bytes(table: DataFrame) -> Column:
+    """Upper estimate of what a row of the table takes in a broadcast."""
+    size = F.lit(ROW_OVERHEAD_BYTES + FIXED_VALUE_BYTES * len(table.columns))
+    for field in table.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(quoted(field.name)), F.lit(0))
+    return size
+
+
 def build_lookup(
-    table: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES, label: str = "lookup"
+    table: DataFrame,
+    key: str,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    label: str = "lookup",
+    written: bool = False,
 ) -> Lookup:
-    """Write ``table`` once, measure it, and decide how it may be joined.
+    """Write ``table`` once, unless it is ``written`` already, measure it, decide how to join it.
 
     ``table`` has one row per non-null key and the column ``_group_rows`` with the number
     of rows behind each key.
     """
-    written = materialize(table, label)
-    size = F.lit(ROW_OVERHEAD_BYTES + FIXED_VALUE_BYTES * len(written.columns))
-    for field in written.schema:
-        if isinstance(field.dataType, T.StringType):
-            size = size + F.coalesce(F.octet_length(quoted(field.name)), F.lit(0))
-    measured = written.agg(
-        F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
+    if not written:
+        table = materialize(table, label)
+    measured = table.agg(
+        F.coalesce(F.sum(row_bytes(table)), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum(GROUP_ROWS), F.lit(0)).alias("rows"),
     ).first()
     broadcastable = measured["bytes"] <= broadcast_bytes
     hot_groups = 0
     if not broadcastable:
-        hot_groups = written.filter(F.col(GROUP_ROWS) >= measured["rows"] * HOT_SHARE).count()
-    return Lookup(written, key, measured["rows"], broadcastable, hot_groups)
+        hot_groups = table.filter(F.col(GROUP_ROWS) >= measured["rows"] * HOT_SHARE).count()
+    return Lookup(table, key, measured["rows"], broadcastable, hot_groups)

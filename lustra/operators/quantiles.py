@@ -1,17 +1,19 @@
 """Exact quantiles with linear interpolation, for whole columns and per group.
 
-Spark's ``percentile`` is exact but keeps one counter per distinct value in a single
-task. It is used wherever an estimate of the distinct values shows that this is small.
-Beyond that the wanted ranks are bracketed: each pass sketches a grid of approximate
-quantiles inside the current brackets and counts, exactly, the rows below and inside
-them. When a bracket holds few distinct values, these are counted one by one and the
-ranks are read off. Every step is a grouped aggregate with map-side combine, so neither a
-heavy value nor a heavy group ends up in one task.
+Spark's ``percentile`` is exact but keeps one counter per distinct value in a single task.
+It is used where the distinct values are few. Beyond that the wanted ranks are bracketed: a
+sketch gives a grid of approximate quantiles, an exact count checks how many rows lie below
+and inside each bracket, and brackets that still hold many distinct values are sketched
+again. In the end only the few values inside are counted one by one. All passes are
+aggregates with map-side combine, so neither a heavy value nor a heavy group ends up in one
+task, and a bad sketch costs passes but never a wrong answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 from lustra.functions.text import quoted
 from lustra.session import materialize
 
-# Distinct values that one task may hold in memory, over all columns of one aggregate.
-IN_MEMORY_VALUES = 1_000_000
-# Rows of a group that one task may sort.
+# Distinct values of a column, or of a bracket, that one task counts in memory.
+IN_MEMORY_VALUES = 20_000
+# Rows of a group up to which the built-in aggregate is used, and up to which one task sorts.
+IN_MEMORY_ROWS = 20_000
 SORTABLE_ROWS = 5_000_000
 SKETCH_ACCURACY = 10_000
 GRID_STEPS = 1_000
@@ -30,52 +33,158 @@ GRID_MARGIN = 2
 MAX_PASSES = 20
 
 
+def _grid(steps: int) -> str:
+    """The grid as text, since a column object per grid point would take long to build."""
+    return "array({})".format(", ".join(f"{i / steps!r}D" for i in range(steps + 1)))
+
+
+def _sketch(value: str, steps: int = GRID_STEPS) -> Column:
+    return F.expr(f"percentile_approx({value}, {_grid(steps)}, {SKETCH_ACCURACY})")
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Limits around one wanted position of one column, and what was counted about them."""
+
+    column: str
+    position: float
+    low: float = -math.inf
+    high: float = math.inf
+    below: int = 0
+    inside: int = 0
+    misses: int = 0
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.position), math.ceil(self.position)
+
+    @property
+    def holds(self) -> bool:
+        """Whether the counts prove that both ranks lie inside."""
+        first, last = self.ranks
+        return self.below <= first and last < self.below + self.inside
+
+    def condition(self) -> str:
+        """SQL for the column's value if it lies inside."""
+        return f"case when {self.column} between {_double(self.low)} and {_double(self.high)} then {self.column} end"
+
+    def shrunk(self, grid: Sequence[float], steps: int) -> _Bracket:
+        """The bracket around the ranks on a grid over its inside."""
+        first, last = (rank - self.below for rank in self.ranks)
+        margin = GRID_MARGIN * (1 + self.misses)
+        start = max(math.floor(first / self.inside * steps) - margin, 0)
+        stop = min(math.ceil((last + 1) / self.inside * steps) + margin, steps)
+        return replace(self, low=grid[start], high=grid[stop])
+
+    def opened(self) -> _Bracket:
+        """After a miss: without limit on the side the ranks are on, and a wider margin."""
+        low = -math.inf if self.below > self.ranks[0] else self.low
+        high = math.inf if self.below + self.inside <= self.ranks[1] else self.high
+        return replace(self, low=low, high=high, misses=self.misses + 1)
+
+
+def _double(value: float) -> str:
+    return f"double('{value!r}')"
+
+
 def column_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column],
     probabilities: Sequence[float],
     distinct_estimates: Mapping[str, int] | None = None,
     in_memory_values: int = IN_MEMORY_VALUES,
+    grid_steps: int = GRID_STEPS,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several numeric expressions; None for a column without values.
 
-    ``distinct_estimates`` saves the sizing pass when the caller has counted already.
+    All columns share each pass: one pass to size the columns, unless the caller has
+    ``distinct_estimates`` already, one to sketch those with many values, one to check the
+    brackets, one to read the results.
     """
-    values = {name: column.cast("double") for name, column in columns.items()}
-    if not values:
+    if not columns:
         return {}
+    names = {name: f"v{i}" for i, name in enumerate(columns)}
+    values = df.select(*[c.cast("double").alias(names[n]) for n, c in columns.items()])
     if distinct_estimates is None:
-        names = list(values)
-        counted = df.agg(
-            *[F.approx_count_distinct(values[n]).alias(f"d{i}") for i, n in enumerate(names)]
-        ).first()
-        distinct_estimates = {n: counted[f"d{i}"] for i, n in enumerate(names)}
-
-    small: list[str] = []
-    budget = in_memory_values
-    for name in sorted(values, key=lambda n: distinct_estimates[n]):
-        budget -= distinct_estimates[name]
-        if budget >= 0:
-            small.append(name)
-    large = [n for n in values if n not in set(small)]
-
-    result: dict[str, list[float | None]] = {}
-    if small:
-        found = df.agg(
-            *[
-                F.percentile(values[n], list(probabilities)).alias(f"q{i}")
-                for i, n in enumerate(small)
+        sized = values.agg(*[F.approx_count_distinct(v).alias(v) for v in names.values()]).first()
+        distinct_estimates = {n: sized[v] for n, v in names.items()}
+    many = [v for n, v in names.items() if distinct_estimates[n] > in_memory_values]
+    few = [v for v in names.values() if v not in set(many)]
+    brackets = _settled_brackets(values, many, probabilities, in_memory_values, grid_steps)
+
+    reads = [F.percentile(v, list(probabilities)).alias(v) for v in few]
+    for i, bracket in enumerate(brackets):
+        for rank in set(bracket.ranks):
+            # Half a rank off, so that rounding cannot reach the neighbour.
+            share = (rank - bracket.below + 0.5) / bracket.inside
+            value = bracket.condition()
+            pick = f"percentile_disc({share!r}D) within group (order by {value})"
+            reads.append(F.expr(pick).alias(f"b{i}_{rank}"))
+    found = values.agg(*reads).first()
+
+    exact: dict[str, list[float | None]] = {v: [] for v in many}
+    for i, bracket in enumerate(brackets):
+        first, last = bracket.ranks
+        lower, upper = found[f"b{i}_{first}"], found[f"b{i}_{last}"]
+        fraction = bracket.position - first
+        exact[bracket.column].append(lower + (upper - lower) * fraction if fraction else lower)
+    for v in few:
+        exact[v] = list(found[v]) if found[v] else [None] * len(probabilities)
+    return {n: exact[v] for n, v in names.items()}
+
+
+def _settled_brackets(
+    values: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    in_memory_values: int,
+    steps: int,
+) -> list[_Bracket]:
+    """Brackets that provably hold their ranks and no more than a few distinct values."""
+    if not columns:
+        return []
+    counted = values.agg(
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[_sketch(c, steps).alias(f"grid_{c}") for c in columns],
+    ).first()
+    settled: list[_Bracket] = []
+    brackets = []
+    for column in columns:
+        rows = counted[f"n_{column}"]
+        for p in probabilities:
+            whole = _Bracket(column, p * (rows - 1), inside=rows)
+            brackets.append(whole.shrunk(counted[f"grid_{column}"], steps))
+    order = [(b.column, b.position) for b in brackets]
+
+    for _ in range(MAX_PASSES):
+        checks = []
+        for i, b in enumerate(brackets):
+            inside = b.condition()
+            checks += [
+                F.expr(f"count_if({b.column} < {_double(b.low)})").alias(f"below{i}"),
+                F.expr(f"count({inside})").alias(f"inside{i}"),
+                F.expr(f"approx_count_distinct({inside})").alias(f"distinct{i}"),
             ]
-        ).first()
-        for i, n in enumerate(small):
-            result[n] = list(found[f"q{i}"]) if found[f"q{i}"] else [None] * len(probabilities)
-    if large:
-        long_form = df.select(*[values[n].alias(n) for n in large]).unpivot(
-            [], [quoted(n) for n in large], "key", "value"
-        )
-        for row in select_quantiles(long_form, probabilities, in_memory_values).collect():
-            result[row["key"]] = list(row["quantiles"])
-    return result
+            # The last grid left about this many rows, so it may take another one.
+            if b.inside * (2 * GRID_MARGIN + 3) * (1 + b.misses) > steps * in_memory_values:
+                checks.append(_sketch(inside, steps).alias(f"grid{i}"))
+        seen = values.agg(*checks).first().asDict()
+        pending = []
+        for i, b in enumerate(brackets):
+            b = replace(b, below=seen[f"below{i}"], inside=seen[f"inside{i}"])
+            if not b.holds:
+                pending.append(b.opened())
+            elif seen[f"distinct{i}"] <= in_memory_values:
+                settled.append(b)
+            elif f"grid{i}" in seen:
+                pending.append(b.shrunk(seen[f"grid{i}"], steps))
+            else:
+                # Larger than expected: sketch it with the next pass.
+                pending.append(replace(b, inside=steps * in_memory_values))
+        brackets = pending
+        if not brackets:
+            return sorted(settled, key=lambda b: order.index((b.column, b.position)))
+    raise RuntimeError(f"quantile brackets did not settle in {MAX_PASSES} passes")
 
 
 def group_quantiles(
@@ -83,28 +192,29 @@ def group_quantiles(
     group: str,
     value: Column,
     probabilities: Sequence[float],
+    in_memory_rows: int = IN_MEMORY_ROWS,
     sortable_rows: int = SORTABLE_ROWS,
 ) -> DataFrame:
     """One row per non-null group that has values: ``key`` and the array ``quantiles``.
 
-    Groups one task can sort are counted value by value and read off with a running count,
-    which spills. Larger groups, of which there are at most rows / sortable_rows, are
-    bracketed.
+    The size of the largest group decides: the built-in aggregate while its counters are
+    few, a running count per value, which spills, while one task can sort a group, and
+    brackets for the groups beyond that, of which there are at most rows / sortable_rows.
     """
     rows = df.select(quoted(group).alias("key"), value.cast("double").alias("value"))
     rows = rows.filter("key is not null and value is not null")
     sizes = rows.groupBy("key").agg(F.count("value").alias("size"))
-    big = materialize(
-        sizes.filter(F.col("size") > sortable_rows).select("key"), "big-groups"
-    )
-    if big.isEmpty():
+    largest = sizes.agg(F.max("size")).first()[0] or 0
+    if largest <= in_memory_rows:
+        built_in = F.percentile("value", list(probabilities)).alias("quantiles")
+        return rows.groupBy("key").agg(built_in)
+    if largest <= sortable_rows:
         return _sorted_quantiles(rows, probabilities)
+    big = materialize(sizes.filter(F.col("size") > sortable_rows).select("key"), "big-groups")
     return _sorted_quantiles(
         rows.join(F.broadcast(big), "key", "left_anti"), probabilities
     ).unionByName(
-        select_quantiles(
-            rows.join(F.broadcast(big), "key", "left_semi"), probabilities, sortable_rows
-        )
+        select_quantiles(rows.join(F.broadcast(big), "key", "left_semi"), probabilities)
     )
 
 
@@ -139,7 +249,7 @@ def select_quantiles(
     in_memory_values: int = IN_MEMORY_VALUES,
     grid_steps: int = GRID_STEPS,
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per ``key`` by repeated bracketing."""
+    """Exact quantiles of ``value`` per ``key`` by bracketing, the brackets kept as a table."""
     present = rows.filter("value is not null")
     brackets = None
     for _ in range(MAX_PASSES):
@@ -162,13 +272,11 @@ def _measure(
     present: DataFrame, probabilities: Sequence[float], brackets: DataFrame | None, steps: int
 ) -> DataFrame:
     """Per key and probability: rows below and inside the bracket, and a grid over the inside."""
-    # As text, since a column object per grid point would take long to build.
-    grid = "array({})".format(", ".join(f"{i / steps!r}D" for i in range(steps + 1)))
     if brackets is None:
         whole = present.groupBy("key").agg(
             F.count("value").alias("inside"),
             F.approx_count_distinct("value").alias("values_inside"),
-            F.expr(f"percentile_approx(value, {grid}, {SKETCH_ACCURACY})").alias("grid"),
+            _sketch("value", steps).alias("grid"),
         )
         positions = F.array(
             *[
@@ -203,10 +311,7 @@ def _measure(
             F.count_if(F.col("value") < F.col("low")).alias("below"),
             F.count_if(inside).alias("inside"),
             F.approx_count_distinct(F.when(inside, F.col("value"))).alias("values_inside"),
-            F.expr(
-                "percentile_approx(case when value between low and high then value end, "
-                f"{grid}, {SKETCH_ACCURACY})"
-            ).alias("grid"),
+            _sketch("case when value between low and high then value end", steps).alias("grid"),
         )
         .withColumnsRenamed({"low": "old_low", "high": "old_high"})
     )

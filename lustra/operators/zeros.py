@@ -16,6 +16,7 @@ from lustra.operators.cleaning import known_columns, replace_columns
 from lustra.operators.lookup import GROUP_ROWS, Lookup, build_lookup
 from lustra.operators.modes import column_modes
 from lustra.operators.quantiles import column_quantiles
+from lustra.session import materialize
 
 FLAG_PREFIX = "is_valid_"
 
@@ -111,23 +112,33 @@ def _fit_rule(
     if strategy == "mode":
         return ZeroRepair(column, "replace", column_modes(df, {column: non_zero})[column], flag=flag)
     if strategy == "neighborhood_mean" and group_by:
+        if group_by in df.columns:
+            overall, lookup = _group_means(df, column, non_zero, group_by)
+            return ZeroRepair(column, "replace", overall, lookup, flag)
         overall = df.agg(F.avg(non_zero)).first()[0]
-        if group_by not in df.columns:
-            action = "keep" if overall is None else "replace"
-            return ZeroRepair(column, action, overall, flag=flag)
-        means = (
-            df.filter(quoted(group_by).isNotNull())
-            .groupBy(quoted(group_by))
-            .agg(
-                F.avg(non_zero).alias(f"_mean_of_{column}"),
-                F.count(F.lit(1)).alias(GROUP_ROWS),
-            )
-        )
-        lookup = build_lookup(means, group_by, label="zero-means")
-        return ZeroRepair(column, "replace", overall, lookup, flag)
+        action = "keep" if overall is None else "replace"
+        return ZeroRepair(column, action, overall, flag=flag)
     return ZeroRepair(column, "replace", None, flag=flag)
 
 
+def _group_means(
+    df: DataFrame, column: str, non_zero: Column, group_by: str
+) -> tuple[float | None, Lookup]:
+    """Overall mean and group means from one pass; rows without a group count for the former."""
+    groups = materialize(
+        df.groupBy(quoted(group_by)).agg(
+            F.avg(non_zero).alias(f"_mean_of_{column}"),
+            F.sum(non_zero).alias("_sum"),
+            F.count(non_zero).alias("_values"),
+            F.count(F.lit(1)).alias(GROUP_ROWS),
+        ),
+        "zero-means",
+    )
+    overall = groups.agg(F.try_divide(F.sum("_sum"), F.sum("_values"))).first()[0]
+    means = groups.filter(quoted(group_by).isNotNull()).drop("_sum", "_values")
+    return overall, build_lookup(means, group_by, written=True)
+
+
 def handle_invalid_zeros(
     df: DataFrame, rules: Mapping[str, Mapping[str, Any]], flag_invalid: bool = False
 ) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lustra.functions.text import quoted
-from lustra.operators import column_quantiles, group_quantiles
+from lustra.operators import column_quantiles, group_quantiles, quantiles
 from lustra.operators.modes import column_modes
 from lustra.operators.quantiles import select_quantiles
 
@@ -43,16 +43,16 @@ def test_column_without_values(numbers):
     assert found == {"empty": [None]}
 
 
-@pytest.mark.parametrize("sortable", [5_000_000, 300])
-def test_groups_match_numpy(spark, sortable):
-    """One group holds a third of the rows; with the low limit it is bracketed."""
+@pytest.mark.parametrize("limits", [(20_000, 5_000_000), (10, 5_000_000), (10, 300)])
+def test_groups_match_numpy(spark, limits):
+    """One group holds a third of the rows; with the low limits it is sorted or bracketed."""
     df = spark.range(9_000).selectExpr(
         "case when id % 3 = 0 then 'hot' else concat('g', id % 101) end as g",
         "case when id % 97 = 0 then null else (id * 7919 % 9001) / 7.0 end as v",
     ).union(spark.sql("select cast(null as string), 1.0D"))
     found = {
         r["key"]: r["quantiles"]
-        for r in group_quantiles(df, "g", F.col("v"), PROBABILITIES, sortable).collect()
+        for r in group_quantiles(df, "g", F.col("v"), PROBABILITIES, *limits).collect()
     }
     frame = df.toPandas().dropna()
     groups = frame.groupby("g")["v"]
@@ -61,15 +61,17 @@ def test_groups_match_numpy(spark, sortable):
         assert found[key] == pytest.approx(list(np.quantile(part, PROBABILITIES)), rel=1e-12)
 
 
-def test_a_missed_bracket_is_reopened(numbers, monkeypatch):
+def test_missed_brackets_are_reopened(numbers, monkeypatch):
     """With a sketch coarser than the grid some brackets miss; the counts show it."""
-    from lustra.operators import quantiles
-
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 30)
     monkeypatch.setattr(quantiles, "GRID_MARGIN", 1)
+    expected_values = pytest.approx(expected(numbers, "skewed"), rel=1e-12)
     rows = numbers.select(F.lit("k").alias("key"), F.col("skewed").alias("value"))
     (found,) = select_quantiles(rows, PROBABILITIES, in_memory_values=200, grid_steps=50).collect()
-    assert found["quantiles"] == pytest.approx(expected(numbers, "skewed"), rel=1e-12)
+    assert found["quantiles"] == expected_values
+    columns = {"skewed": F.col("skewed")}
+    found = column_quantiles(numbers, columns, PROBABILITIES, in_memory_values=200, grid_steps=50)
+    assert found["skewed"] == expected_values
 
 
 def test_mode_takes_the_smallest_on_a_tie(make):
