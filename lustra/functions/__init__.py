@@ -7,11 +7,11 @@ from lustra.functions.columns import (
     text_columns,
 )
 from lustra.functions.numbers import as_number, parse_number, quiet_nan
-from lustra.functions.text import blank_to_null, standardize, trim_text
+from lustra.functions.text import finish_trim, standardize, trim_text
 
 __all__ = [
     "as_number",
-    "blank_to_null",
+    "finish_trim",
     "id_columns",
     "numeric_columns",
     "parse_number",

@@ -16,20 +16,19 @@ VISIBLE = (33, 126)
 
 
 def trim_text(column: Column | str) -> Column:
-    """Strip Unicode whitespace from both ends; null stays null.
+    """Strip Unicode whitespace from both ends; null stays null."""
+    return F.btrim(_col(column), F.lit(WHITESPACE))
+
+
+def finish_trim(plain: Column) -> Column:
+    """Strip the other whitespace characters from a text that went through a plain trim.
 
     Comparing each end with all whitespace characters costs some twenty times a plain trim,
-    so it is left to the texts whose plain trim does not begin and end in visible ASCII.
+    so it is left to the texts that do not begin and end in visible ASCII.
     """
-    plain = F.trim(_col(column))
     ends = (F.ascii(plain), F.ascii(F.substring(plain, -1, 1)))
     clean = ends[0].between(*VISIBLE) & ends[1].between(*VISIBLE)
-    return F.when(clean, plain).otherwise(F.btrim(_col(column), F.lit(WHITESPACE)))
-
-
-def blank_to_null(column: Column | str) -> Column:
-    """Trim, and turn a text that is empty after trimming into null."""
-    return F.nullif(trim_text(column), F.lit(""))
+    return F.when(clean, plain).otherwise(trim_text(plain))
 
 
 def standardize(column: Column | str) -> Column:

@@ -13,6 +13,7 @@ from lustra.operators.checks import (
 from lustra.operators.cleaning import (
     blanks_to_null,
     clean_numeric_columns,
+    drop_blank_rows,
     drop_empty_rows,
     fit_numeric_cleaner,
     numeric_detection,
@@ -56,6 +57,7 @@ __all__ = [
     "column_quantiles",
     "datetime_features",
     "describe",
+    "drop_blank_rows",
     "drop_empty_rows",
     "drop_missing",
     "duplicate_key",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +40,30 @@ def known_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
 
 def trim_columns(df: DataFrame) -> DataFrame:
     """Trim every text column."""
-    return replace_columns(
-        df,
-        {f.name: text.trim_text(f.name) for f in df.schema if isinstance(f.dataType, T.StringType)},
-    )
+    names, plain = _plain_trim(df)
+    return replace_columns(plain, {c: text.finish_trim(quoted(c)) for c in names})
 
 
 def blanks_to_null(df: DataFrame) -> DataFrame:
-    """Trim every text column, blank text to null, NaN to null: one projection."""
-    replacements = {}
+    """Trim every text column, blank text to null, NaN to null."""
+    names, plain = _plain_trim(df)
+    replacements = {
+        c: F.nullif(text.finish_trim(quoted(c)), F.lit("")) for c in names
+    }
     for field in df.schema:
-        if isinstance(field.dataType, T.StringType):
-            replacements[field.name] = text.blank_to_null(field.name)
-        elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
             replacements[field.name] = numbers.quiet_nan(quoted(field.name), field.dataType)
-    return replace_columns(df, replacements)
+    return replace_columns(plain, replacements)
+
+
+def _plain_trim(df: DataFrame) -> tuple[list[str], DataFrame]:
+    """The text columns, and the table with their spaces stripped.
+
+    A projection of its own, so that the result is computed once and not in each place
+    that reads it; that also keeps the generated code small enough to be compiled.
+    """
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return names, replace_columns(df, {c: F.trim(quoted(c)) for c in names})
 
 
 def drop_empty_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
@@ -62,6 +72,27 @@ def drop_empty_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     return df.na.drop(how="all", subset=subset) if subset else df
 
 
+def drop_blank_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
+    """Drop rows in which every column is null, NaN or blank text, before these are nulled.
+
+    The same rows as :func:`drop_empty_rows` after :func:`blanks_to_null`. There, the filter
+    would be pushed below the projection and repeat all of its expressions; here it reads
+    the plain columns and stops at the first one with a value, text last.
+    """
+    hidden = set(ignore)
+    others, texts = [], []
+    for field in df.schema:
+        if field.name in hidden:
+            continue
+        column = quoted(field.name)
+        if isinstance(field.dataType, T.StringType):
+            texts.append(F.coalesce(text.trim_text(column) != "", F.lit(False)))
+        else:
+            others.append(numbers.quiet_nan(column, field.dataType).isNotNull())
+    conditions = others + texts
+    return df.filter(reduce(lambda a, b: a | b, conditions)) if conditions else df
+
+
 def standardize_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Trim and lower-case the given text columns; other types are left alone."""
     types = data_types(df)

@@ -41,12 +41,13 @@ def remove_duplicates(
     subset: Sequence[str] | None = None,
     keep: str | bool = "first",
     order_by: str | Sequence[str] | None = None,
+    trimmed: bool = False,
 ) -> DataFrame:
     """Keep one row per key, or with ``keep=False`` only the rows that have no double.
 
     Text is trimmed first and stays trimmed; null equals null. ``order_by`` names the
     unique row order that first and last refer to; it may be left out when the whole row
-    is the key.
+    is the key. ``trimmed`` says that the text is trimmed already.
 
     Every form collapses a key on the map side before the shuffle, so a key that holds a
     third of all rows arrives as one row per map task.
@@ -54,20 +55,20 @@ def remove_duplicates(
     if keep not in KEEP_CHOICES:
         raise ValueError(f"keep must be one of {KEEP_CHOICES}, not {keep!r}")
     order = [order_by] if isinstance(order_by, str) else list(order_by or ())
-    trimmed = trim_columns(df)
-    keys = duplicate_key(trimmed, subset, order)
+    table = df if trimmed else trim_columns(df)
+    keys = duplicate_key(table, subset, order)
     rest = [c for c in df.columns if c not in set(keys)]
 
     if keep is False:
-        return _without_doubles(trimmed, keys, rest)
+        return _without_doubles(table, keys, rest)
     if not rest:
-        return trimmed.dropDuplicates(keys)
+        return table.dropDuplicates(keys)
     if not order:
         raise ValueError("first and last need order_by when the key is not the whole row")
-    types = data_types(trimmed)
+    types = data_types(table)
     if len(order) == 1 and all(is_fixed_width(types[c]) for c in rest):
-        return _pick_by_aggregate(trimmed, keys, rest, order[0], keep)
-    return _pick_by_rank(trimmed, keys, order, keep)
+        return _pick_by_aggregate(table, keys, rest, order[0], keep)
+    return _pick_by_rank(table, keys, order, keep)
 
 
 def _pick_by_aggregate(

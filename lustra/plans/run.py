@@ -19,7 +19,7 @@ from lustra.functions.columns import numeric_columns, text_columns
 from lustra.operators.checks import raise_on_failure, validate
 from lustra.operators.cleaning import (
     blanks_to_null,
-    drop_empty_rows,
+    drop_blank_rows,
     fit_numeric_cleaner,
     standardize_text,
 )
@@ -190,7 +190,7 @@ class QualityRun:
             model = models[name] = fit(source.drop(*hidden))
             add(name, model.transform(source), getattr(model, "shuffles", False))
 
-        add("drop_empty_rows", drop_empty_rows(blanks_to_null(df), ignore=hidden))
+        add("drop_empty_rows", blanks_to_null(drop_blank_rows(df, ignore=hidden)))
         if is_on(cleaning, ZERO_STEP):
             rules = {k: v for k, v in cleaning[ZERO_STEP].items() if k != "enabled"}
             flag = bool(rules.pop("flag_invalid", False))
@@ -201,7 +201,11 @@ class QualityRun:
         if is_on(cleaning, "remove_duplicates"):
             options = cleaning["remove_duplicates"]
             unique = remove_duplicates(
-                stages[-1].data, options.get("subset"), options.get("keep", "first"), order
+                stages[-1].data,
+                options.get("subset"),
+                options.get("keep", "first"),
+                order,
+                trimmed=True,
             )
             add("remove_duplicates", unique, shuffled=True)
         if is_on(cleaning, "handle_missing"):

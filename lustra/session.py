@@ -25,6 +25,9 @@ def build_session(master: str = "local[8]", app_name: str = "lustra", **conf: st
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # HotSpot leaves methods beyond this size to the interpreter; plans that would
+        # generate one run faster without whole-stage code.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
     )

@@ -13,13 +13,13 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lustra.operators.cleaning import blanks_to_null, drop_empty_rows
+from lustra.operators.cleaning import blanks_to_null, drop_blank_rows
 from lustra.session import new_scratch_path
 
 
 def apply_models(stream: DataFrame, models: Sequence[Any]) -> DataFrame:
     """Blank handling, then each model's transform."""
-    cleaned = drop_empty_rows(blanks_to_null(stream))
+    cleaned = blanks_to_null(drop_blank_rows(stream))
     for model in models:
         cleaned = model.transform(cleaned)
     return cleaned

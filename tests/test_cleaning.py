@@ -8,6 +8,7 @@ from lustra.functions import id_columns, parse_number, rejects_negatives, trim_t
 from lustra.operators import (
     blanks_to_null,
     clean_numeric_columns,
+    drop_blank_rows,
     drop_empty_rows,
     fit_numeric_cleaner,
     numeric_detection,
@@ -41,6 +42,20 @@ def test_blank_rows_are_dropped_even_without_an_empty_cell(make, values):
     assert values(drop_empty_rows(blanks_to_null(df))) == [(None, 0.0), ("x", None)]
 
 
+def test_both_ways_to_drop_empty_rows_agree(make, values):
+    df = make(
+        "a string, b double, c int",
+        ("  \xa0", math.nan, None),
+        ("", None, None),
+        (None, None, 0),
+        (" x", math.nan, None),
+        (None, 0.0, None),
+    )
+    expected = values(drop_empty_rows(blanks_to_null(df)))
+    assert values(blanks_to_null(drop_blank_rows(df))) == expected and len(expected) == 3
+    assert drop_blank_rows(df, ignore=["c"]).count() == 2
+
+
 def test_bookkeeping_columns_do_not_keep_an_empty_row(make):
     df = make("a string, pos int", (None, 1), ("x", 2))
     assert drop_empty_rows(df).count() == 2
