@@ -29,7 +29,10 @@ def duplicate_key(
         c for c in df.columns if not isinstance(types[c], T.MapType) and c not in set(order_by)
     ]
     if subset:
-        return known_columns(df, subset)
+        known = known_columns(df, subset)
+        if not known:
+            raise ValueError(f"none of the key columns {list(subset)} exists")
+        return known
     if subset is None:
         ids = set(id_columns(comparable))
         return [c for c in comparable if c not in ids] or comparable

@@ -114,7 +114,9 @@ class OrderedFill:
                 for c in self.columns
             ],
         )
-        joined = filled.join(F.broadcast(carries), BUCKET, "left")
+        # The window left the rows partitioned and sorted by bucket, so a merge join moves
+        # the carries only. They are few, but their texts may be long: no broadcast is forced.
+        joined = filled.join(carries.hint("merge"), BUCKET, "left")
         return joined.select(
             *[
                 F.coalesce(F.col(in_bucket[c]), F.col(carried[c])).alias(c)

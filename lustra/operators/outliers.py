@@ -94,14 +94,18 @@ def fit_outliers(
 ) -> OutlierModel:
     """Fit the bounds; without ``columns`` every numeric column takes part.
 
-    Capping needs one fit for all columns. Removing rows fits each column on the rows the
+    Capping needs one fit for all columns. It turns a column into double, so an integer
+    column without any outlier is left out, which spares large identifiers. Removing rows fits each column on the rows the
     columns before it left over; ``simultaneous`` fits all of them on the whole input.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     chosen = known_columns(df, columns) if columns is not None else numeric_columns(df)
-    if cap or simultaneous:
-        return OutlierModel(tuple(_fit_bounds(df, chosen, method, factor)), cap)
+    if cap:
+        bounds = _fit_bounds(df, chosen, method, factor)
+        return OutlierModel(tuple(_needed_caps(df, bounds)), cap=True)
+    if simultaneous:
+        return OutlierModel(tuple(_fit_bounds(df, chosen, method, factor)), cap=False)
     fitted: list[Bounds] = []
     current = df
     for column in chosen:
@@ -150,6 +154,17 @@ def _fit_bounds(
     return bounds
 
 
+def _needed_caps(df: DataFrame, bounds: Sequence[Bounds]) -> list[Bounds]:
+    """Drop the bounds of integer columns whose values all lie inside."""
+    types = data_types(df)
+    whole = [b for b in bounds if isinstance(types[b.column], T.IntegralType)]
+    if not whole:
+        return list(bounds)
+    found = OutlierModel(tuple(whole), cap=True).report(df).filter("outliers = 0").collect()
+    unneeded = {row["column"] for row in found}
+    return [b for b in bounds if b.column not in unneeded]
+
+
 def remove_outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,

@@ -34,7 +34,7 @@ from lustra.operators.scaling import fit_scaler
 from lustra.plans.spec import ZERO_STEP, is_on, normalize_spec
 from lustra.operators.zeros import fit_invalid_zeros
 from lustra.session import materialize
-from lustra.sources import ROW_ORDER, read_table, write_table
+from lustra.sources import ROW_ORDER, path_format, read_table, write_table
 
 OUTLIER_STEPS = ("outliers", "remove_outliers")
 # The counters of a run.
@@ -100,9 +100,16 @@ class QualityRun:
         input_format: str | None = None,
         output_format: str | None = None,
     ) -> RunResult:
-        """Load, run in file order, and save if an output path is given."""
+        """Load, run in file order, and save if an output path is given.
+
+        Text formats are parsed once and kept as Parquet in the shared folder, as the fits
+        read the input several times and only some of its columns.
+        """
         needs_order = self._needs_order()
+        input_format = input_format or path_format(input_path)
         df = read_table(spark, input_path, input_format, row_order=needs_order)
+        if input_format != "parquet":
+            df = materialize(df, "input")
         result = self.run(df, ROW_ORDER if needs_order else None, bookkeeping=ROW_ORDER)
         if output_path:
             write_table(result.data, output_path, output_format)

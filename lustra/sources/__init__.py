@@ -3,6 +3,7 @@
 from lustra.sources.readers import (
     ROW_ORDER,
     infer_column_types,
+    path_format,
     read_csv,
     read_json,
     read_parquet,
@@ -15,6 +16,7 @@ __all__ = [
     "ROW_ORDER",
     "dataset_metadata",
     "infer_column_types",
+    "path_format",
     "read_csv",
     "read_json",
     "read_parquet",

@@ -52,6 +52,8 @@ def test_whole_row_key_needs_no_order(make, values):
 def test_order_is_required_where_it_matters(people):
     with pytest.raises(ValueError, match="order_by"):
         remove_duplicates(people, subset=["name"])
+    with pytest.raises(ValueError, match="exists"), pytest.warns(UserWarning):
+        remove_duplicates(people, subset=["nope"], order_by="pos")
     with pytest.raises(ValueError, match="keep"):
         remove_duplicates(people, keep="any", order_by="pos")
 

@@ -82,6 +82,13 @@ def test_every_numeric_column_by_default(make):
         fit_outliers(df, method="mad")
 
 
+def test_capping_spares_whole_columns_without_outliers(make):
+    df = make("id bigint, n int", *[(2**60 + i, i) for i in range(9)], (2**60 + 9, 500))
+    capped = remove_outliers(df, None, cap=True)
+    assert capped.dtypes == [("id", "bigint"), ("n", "double")]
+    assert capped.agg(F.max("id")).first()[0] == 2**60 + 9
+
+
 def test_report_counts_values_beyond_the_bounds(make, values):
     df = make("n int", 1, 2, 3, 4, 100, -100, None)
     assert values(fit_outliers(df, cap=True).report(df)) == [("n", 2)]
