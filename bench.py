@@ -53,7 +53,8 @@ def run(name: str, spark) -> float:
 
 
 def main() -> None:
-    spark = build_session(f"local[{CPUS}]", "lustra-bench", **{"spark.sql.shuffle.partitions": CPUS})
+    partitions = {"spark.sql.shuffle.partitions": CPUS}
+    spark = build_session(f"local[{CPUS}]", "lustra-bench", **partitions)
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in HEADLINE:

@@ -287,5 +287,8 @@ def raise_on_failure(report: DataFrame) -> None:
     """Raise ValidationError if the report holds a failure; it has one row per rule."""
     failures = report.filter(F.col("status") == FAILED).collect()
     if failures:
-        lines = [f"{r['check']} {r['column']}: expected {r['expected']}, {r['found']}" for r in failures]
+        lines = [
+            f"{r['check']} {r['column']}: expected {r['expected']}, found {r['found']}"
+            for r in failures
+        ]
         raise ValidationError("\n".join(lines))

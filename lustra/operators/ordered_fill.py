@@ -240,7 +240,8 @@ def _inner_cuts(
     found = []
     for value, share in sorted(hot.items()):
         # The sample is in order, so a dict keeps the distinct keys in order as well.
-        keys = list(dict.fromkeys(tuple(r[c] for c in order) for r in sample if r[POSITION] == value))
+        here = (tuple(r[c] for c in order) for r in sample if r[POSITION] == value)
+        keys = list(dict.fromkeys(here))
         wanted = min(math.ceil(share * buckets), math.floor(share * MAX_INNER_CUTS), len(keys))
         places = dict.fromkeys(len(keys) * i // (wanted + 1) for i in range(1, wanted + 1))
         if places:

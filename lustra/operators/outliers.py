@@ -95,8 +95,9 @@ def fit_outliers(
     """Fit the bounds; without ``columns`` every numeric column takes part.
 
     Capping needs one fit for all columns. It turns a column into double, so an integer
-    column without any outlier is left out, which spares large identifiers. Removing rows fits each column on the rows the
-    columns before it left over; ``simultaneous`` fits all of them on the whole input.
+    column without any outlier is left out, which spares large identifiers. Removing rows
+    fits each column on the rows the columns before it left over; ``simultaneous`` fits all
+    of them on the whole input.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")

@@ -66,7 +66,8 @@ class _Bracket:
 
     def condition(self) -> str:
         """SQL for the column's value if it lies inside."""
-        return f"case when {self.column} between {_double(self.low)} and {_double(self.high)} then {self.column} end"
+        limits = f"{_double(self.low)} and {_double(self.high)}"
+        return f"case when {self.column} between {limits} then {self.column} end"
 
     def shrunk(self, grid: Sequence[float], steps: int) -> _Bracket:
         """The bracket around the ranks on a grid over its inside."""
@@ -97,20 +98,30 @@ def column_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several numeric expressions; None for a column without values.
 
-    All columns share each pass: one pass to size the columns, unless the caller has
-    ``distinct_estimates`` already, one to sketch those with many values, one to check the
-    brackets, one to read the results.
+    All columns share each pass: one sketches them, one checks the brackets around the
+    wanted ranks, one reads the results. ``distinct_estimates`` spare columns with few values
+    the sketch; these need the last pass only.
     """
     if not columns:
         return {}
     names = {name: f"v{i}" for i, name in enumerate(columns)}
     values = df.select(*[c.cast("double").alias(names[n]) for n, c in columns.items()])
-    if distinct_estimates is None:
-        sized = values.agg(*[F.approx_count_distinct(v).alias(v) for v in names.values()]).first()
-        distinct_estimates = {n: sized[v] for n, v in names.items()}
-    many = [v for n, v in names.items() if distinct_estimates[n] > in_memory_values]
+    sketched = [
+        v
+        for n, v in names.items()
+        if distinct_estimates is None or distinct_estimates[n] > in_memory_values
+    ]
+    sketches = _sketches(values, sketched, grid_steps)
+    many = [v for v in sketched if sketches[v].distinct > in_memory_values]
     few = [v for v in names.values() if v not in set(many)]
-    brackets = _settled_brackets(values, many, probabilities, in_memory_values, grid_steps)
+    first_brackets = [
+        _Bracket(v, p * (sketches[v].rows - 1), inside=sketches[v].rows).shrunk(
+            sketches[v].grid, grid_steps
+        )
+        for v in many
+        for p in probabilities
+    ]
+    brackets = _settled(values, first_brackets, in_memory_values, grid_steps)
 
     reads = [F.percentile(v, list(probabilities)).alias(v) for v in few]
     for i, bracket in enumerate(brackets):
@@ -133,29 +144,35 @@ def column_quantiles(
     return {n: exact[v] for n, v in names.items()}
 
 
-def _settled_brackets(
-    values: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    in_memory_values: int,
-    steps: int,
-) -> list[_Bracket]:
-    """Brackets that provably hold their ranks and no more than a few distinct values."""
+@dataclass(frozen=True)
+class _Sketch:
+    rows: int
+    distinct: int
+    grid: Sequence[float]
+
+
+def _sketches(values: DataFrame, columns: Sequence[str], steps: int) -> dict[str, _Sketch]:
     if not columns:
-        return []
-    counted = values.agg(
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[_sketch(c, steps).alias(f"grid_{c}") for c in columns],
-    ).first()
-    settled: list[_Bracket] = []
-    brackets = []
-    for column in columns:
-        rows = counted[f"n_{column}"]
-        for p in probabilities:
-            whole = _Bracket(column, p * (rows - 1), inside=rows)
-            brackets.append(whole.shrunk(counted[f"grid_{column}"], steps))
-    order = [(b.column, b.position) for b in brackets]
+        return {}
+    aggregates = []
+    for c in columns:
+        aggregates += [
+            F.count(c).alias(f"rows_{c}"),
+            F.approx_count_distinct(c).alias(f"distinct_{c}"),
+            _sketch(c, steps).alias(f"grid_{c}"),
+        ]
+    seen = values.agg(*aggregates).first()
+    return {c: _Sketch(seen[f"rows_{c}"], seen[f"distinct_{c}"], seen[f"grid_{c}"]) for c in columns}
 
+
+def _settled(
+    values: DataFrame, brackets: list[_Bracket], in_memory_values: int, steps: int
+) -> list[_Bracket]:
+    """The brackets narrowed until they provably hold their ranks and few distinct values."""
+    order = [(b.column, b.position) for b in brackets]
+    settled: list[_Bracket] = []
+    if not brackets:
+        return settled
     for _ in range(MAX_PASSES):
         checks = []
         for i, b in enumerate(brackets):

@@ -110,7 +110,8 @@ def _fit_rule(
         (median,) = column_quantiles(df, {column: non_zero}, [0.5])[column]
         return ZeroRepair(column, "replace", median, flag=flag)
     if strategy == "mode":
-        return ZeroRepair(column, "replace", column_modes(df, {column: non_zero})[column], flag=flag)
+        mode = column_modes(df, {column: non_zero})[column]
+        return ZeroRepair(column, "replace", mode, flag=flag)
     if strategy == "neighborhood_mean" and group_by:
         if group_by in df.columns:
             overall, lookup = _group_means(df, column, non_zero, group_by)

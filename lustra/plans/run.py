@@ -234,12 +234,12 @@ class QualityRun:
                 raise ValueError(f"unknown missing-value strategy {strategy!r}")
         if is_on(cleaning, "outliers"):
             options = cleaning["outliers"]
-            self._treat_outliers(fit_and_add, "outliers", options, options.get("columns") or None, True)
+            columns = options.get("columns") or None
+            self._treat_outliers(fit_and_add, "outliers", options, columns, True)
         elif is_on(cleaning, "remove_outliers"):
             options = cleaning["remove_outliers"]
-            self._treat_outliers(
-                fit_and_add, "remove_outliers", options, options.get("columns") or [], False
-            )
+            columns = options.get("columns") or []
+            self._treat_outliers(fit_and_add, "remove_outliers", options, columns, False)
         if is_on(cleaning, "standardize_text"):
             columns = cleaning["standardize_text"].get("columns") or []
             add("standardize_text", standardize_text(stages[-1].data, columns))

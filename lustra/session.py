@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +43,18 @@ def scratch_dir(spark: SparkSession) -> str:
     The session's own setting wins. Only a local master may fall back to a temporary
     folder of the machine; anywhere else a missing setting is an error.
     """
-    configured = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="lustra-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    return _local_folder(context.applicationId)
+
+
+@cache
+def _local_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix=f"lustra-{application_id}-")
 
 
 def new_scratch_path(spark: SparkSession, label: str) -> str:
