@@ -125,15 +125,11 @@ def _fit_bounds(
         return []
     names = list(values)
     if method == "zscore":
-        fits = [
-            fit
-            for i, c in enumerate(names)
-            for fit in (
-                F.avg(values[c]).alias(f"mean{i}"),
-                F.stddev_samp(values[c]).alias(f"std{i}"),
-            )
-        ]
-        seen = df.agg(*fits).first()
+        numbers = df.select(*[values[c].alias(f"v{i}") for i, c in enumerate(names)])
+        fits = []
+        for i in range(len(names)):
+            fits += [F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_samp(f"v{i}").alias(f"std{i}")]
+        seen = numbers.agg(*fits).first()
         return [
             Bounds(
                 c,

@@ -64,14 +64,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     chosen = [c for c in numeric_columns(df) if columns is None or c in set(columns)]
     values = {c: present[c].cast("double") for c in chosen}
     quartiles = column_quantiles(df, values, QUARTILES)
+    numbers = df.select(*[values[c].alias(f"v{i}") for i, c in enumerate(chosen)])
     aggregates, rows = [], []
     for i, c in enumerate(chosen):
         aggregates += [
-            F.count(values[c]).alias(f"count{i}"),
-            F.avg(values[c]).alias(f"mean{i}"),
-            F.stddev_samp(values[c]).alias(f"std{i}"),
-            F.min(values[c]).alias(f"min{i}"),
-            F.max(values[c]).alias(f"max{i}"),
+            F.count(f"v{i}").alias(f"count{i}"),
+            F.avg(f"v{i}").alias(f"mean{i}"),
+            F.stddev_samp(f"v{i}").alias(f"std{i}"),
+            F.min(f"v{i}").alias(f"min{i}"),
+            F.max(f"v{i}").alias(f"max{i}"),
         ]
         p25, p50, p75 = (F.lit(q).cast("double") for q in quartiles[c])
         rows.append(
@@ -93,7 +94,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             "column string, count bigint, mean double, std double, min double, "
             "p25 double, p50 double, p75 double, max double",
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return numbers.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def column_info(df: DataFrame) -> DataFrame:

@@ -43,13 +43,15 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard")
     chosen = [c for c in known_columns(df, columns) if isinstance(types[c], SCALABLE_TYPES)]
     if not chosen:
         return Scaler({})
+    values = df.select(
+        *[as_number(c, types[c]).cast("double").alias(f"v{i}") for i, c in enumerate(chosen)]
+    )
     fits = []
-    for i, c in enumerate(chosen):
-        number = as_number(c, types[c]).cast("double")
-        fits += [F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}")]
+    for i in range(len(chosen)):
+        fits += [F.min(f"v{i}").alias(f"min{i}"), F.max(f"v{i}").alias(f"max{i}")]
         if method == "standard":
-            fits += [F.avg(number).alias(f"mean{i}"), F.stddev_pop(number).alias(f"std{i}")]
-    seen = df.agg(*fits).first()
+            fits += [F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_pop(f"v{i}").alias(f"std{i}")]
+    seen = values.agg(*fits).first()
     parameters = {}
     for i, c in enumerate(chosen):
         low, high = seen[f"min{i}"], seen[f"max{i}"]
