@@ -74,7 +74,7 @@ def main(arguments: list[str]) -> int:
 
     folder = arguments[0] if arguments else DEFAULT_FOLDER
     queries, sql = entry.queries(), entry.oracle_sql()
-    chosen = arguments[1:] or list(queries)
+    chosen = arguments[1:] or list(sql)
     spark = build_session()
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)
