@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import leaks, mixing, quality, shards
+from lustra.llm import jaccard, leaks, mixing, quality, shards
 
 
 #: Folder that holds the library; Python workers look for it there unless it is installed.
@@ -64,6 +64,13 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
+    linked = jaccard.link_documents(table(spark, folder, "documents"))
+    return linked.select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
+    )
+
+
 def op9_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = shards.shuffle_shards(table(spark, folder, "documents"))
     return placed.select(
@@ -81,5 +88,6 @@ QUERIES = {
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_quality_ratio": op6_quality_ratio,
     "op7_mix_sources": op7_mix_sources,
+    "op8_jaccard_groups": op8_jaccard_groups,
     "op9_shuffle_shards": op9_shuffle_shards,
 }

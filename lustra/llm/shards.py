@@ -7,9 +7,8 @@ line of the matrix; each shard permutes what it gets. Shard sizes differ by one
 
 Permutations follow hashes of the row, so reruns agree. A shard is permuted in cells: the cell
 of a row and its place in the cell are drawn by hash, and the slots count on over the cells,
-so no task holds a whole shard. Rows are dealt to parts by hash too: a part has about
-``rows_per_part`` rows unless copies of one whole row exceed that; copies are numbered
-first, by part, and spread.
+so no task holds a whole shard. Rows are dealt to parts by a hash of id and text: a part has
+about ``rows_per_part`` rows, plus the copies of rows that agree in both.
 
 Null ids and texts are values like others. Copies of a text are placed independently of each
 other, as a uniform shuffle does. An empty table gives an empty result.
