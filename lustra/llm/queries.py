@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import jaccard, leaks, mixing, quality, shards
+from lustra.llm import jaccard, leaks, mixing, quality, repeats, shards
 
 
 #: Folder that holds the library; Python workers look for it there unless it is installed.
@@ -23,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_window_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select(
+        F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
@@ -85,6 +92,7 @@ def op9_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_window_repeats": op4_window_repeats,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_quality_ratio": op6_quality_ratio,
     "op7_mix_sources": op7_mix_sources,
