@@ -45,6 +45,7 @@ from lustra.llm.texts import (
     find,
     fragments,
     mixed,
+    runs,
     text_bytes,
     window_hashes,
     window_starts,
@@ -124,12 +125,22 @@ def _digests(width: int):
 
     def run(batches):
         for batch in batches:
-            sets = _shingle_sets(as_bytes(batch.column("body")), width)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            # Multiples of SAMPLED after mixing are as random as the hashes themselves.
-            sample = [_as_long(s[s % np.uint64(SAMPLED) == 0]) for s in sets]
+            bodies = as_bytes(batch.column("body"))
+            digest, sizes, sample = [], [], []
+            for first, last in runs(bodies):
+                for s in _shingle_sets(bodies[first:last], width):
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    sizes.append(len(s))
+                    # Multiples of SAMPLED after mixing are as random as the hashes themselves.
+                    sample.append(_as_long(s[s % np.uint64(SAMPLED) == 0]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("doc"), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sample, pa.list_(pa.int64()))],
+                [
+                    batch.column("block"),
+                    batch.column("doc"),
+                    pa.array(digest, pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(sample, pa.list_(pa.int64())),
+                ],
                 names=["block", "doc", "digest", "n", "sample"],
             )
 
@@ -212,42 +223,63 @@ def _entries(bits: int, width: int, boundary: int, percent: int):
         often = np.concatenate([*often, np.zeros(0, np.uint32)])
         order = np.argsort(known)
         known, often = known[order], often[order]
-        rows = []
+        parts = []
         for doc, s in zip(docs, sets, strict=True):
             n = len(s)
-            if not n:
-                continue
             if n <= boundary:
-                rows += [(SUBSET, key, doc, n, 0, side, None) for key, side in _subset_keys(s, boundary, percent)]
+                keys, sides = _subset_keys(s, boundary, percent)
+                parts.append((SUBSET, doc, n, keys, np.zeros(len(keys), np.int32), sides, None))
             if 100 * n > percent * boundary:
-                code = (s >> np.uint64(32)) if not bits else ((s >> np.uint64(64 - bits)) << np.uint64(32)) | fragments(s, bits)
-                at, there = find(known, code)
+                top = (s >> np.uint64(64 - bits)) << np.uint64(32) if bits else np.uint64(0)
+                at, there = find(known, top | fragments(s, bits))
                 df = np.where(there, often[at], 1) if len(known) else np.ones(n, np.uint32)
                 first = np.lexsort((s, df))[: prefix_length(n, percent)]
-                listed = [(i, int(x)) for i, x in zip(range(n), first, strict=False) if df[x] > 1]
-                if listed:
-                    keys = _as_long(s)
-                    rows += [(LIST, int(keys[x]), doc, n, n - i, 0, None) for i, x in listed]
-                    rows.append((SET, 0, doc, n, 0, 0, keys[df > 1]))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-        names = ["kind", "key", "doc", "n", "tail", "side", "shared"]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                tails = n - np.flatnonzero(df[first] > 1).astype(np.int32)
+                if len(tails):
+                    keys = _as_long(s[first[n - tails]])
+                    parts.append((LIST, doc, n, keys, tails, np.zeros(len(keys), np.int32), None))
+                    nothing = np.zeros(1, np.int32)
+                    parts.append((SET, doc, n, nothing.astype(np.int64), nothing, nothing, _as_long(s[df > 1])))
+        return _entry_table(parts)
 
     return run
 
 
-def _subset_keys(s: np.ndarray, boundary: int, percent: int):
+def _entry_table(parts: list[tuple]) -> pa.Table:
+    lengths = [len(p[3]) for p in parts]
+    spread = lambda i, kind: np.repeat(np.array([p[i] for p in parts], kind), lengths)
+    joined = lambda i, kind: np.concatenate([*(p[i] for p in parts), np.zeros(0, kind)]).astype(kind)
+    # Entries without a set have an empty one.
+    shared = [p[6] if p[6] is not None else np.zeros(0, np.int64) for p in parts]
+    ends = np.cumsum(np.repeat([len(x) for x in shared], lengths)) if parts else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    values = np.concatenate([*shared, np.zeros(0, np.int64)])
+    return pa.table(
+        {
+            "kind": spread(0, np.int32),
+            "key": joined(3, np.int64),
+            "doc": spread(1, np.int64),
+            "n": spread(2, np.int32),
+            "tail": joined(4, np.int32),
+            "side": joined(5, np.int32),
+            "shared": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64())),
+        }
+    )
+
+
+def _subset_keys(s: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each subset that a partner of some size must share; the sides are
     1 for the smaller set, 2 for the larger and 4 for sets of one size."""
     n = len(s)
     values = mixed(s)
+    keys, sides = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for m in partner_sizes(n, percent):
         if m <= boundary:
             salt = np.uint64(min(n, m) * 1000 + max(n, m))
             chosen = np.array(list(combinations(range(n), least_overlap(n, m, percent))))
-            for key in _as_long(mixed(values[chosen].sum(axis=1, dtype=np.uint64) + salt)).tolist():
-                yield key, (1 if n < m else 2 if n > m else 4)
+            keys.append(_as_long(mixed(values[chosen].sum(axis=1, dtype=np.uint64) + salt)))
+            sides.append(np.full(len(chosen), 1 if n < m else 2 if n > m else 4, np.int32))
+    return np.concatenate(keys), np.concatenate(sides)
 
 
 def _may_match(n: Column, m: Column, tail_n: Column, tail_m: Column, percent: int) -> Column:

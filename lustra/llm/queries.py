@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import jaccard, leaks, mixing, quality, repeats, shards
+from lustra.llm import jaccard, leaks, mixing, quality, repeats, shards, suffix_tree
 
 
 #: Folder that holds the library; Python workers look for it there unless it is installed.
@@ -23,6 +23,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = suffix_tree.score_texts(docs, suffix_tree.held_out(F.col("doc_id")))
+    return scored.withColumnRenamed("doc", "doc_id")
+
+
 def op4_window_repeats(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = repeats.remove_repeats(table(spark, folder, "documents"))
     return cleaned.select(
@@ -92,6 +98,7 @@ def op9_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op4_window_repeats": op4_window_repeats,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_quality_ratio": op6_quality_ratio,

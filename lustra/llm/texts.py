@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 WHITE = b"\t\n\x0b\x0c\r "
 WHITE_CHARS = WHITE.decode()
 #: Bytes of text in one block, and expected entries of one bucket.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 20
 #: Texts are hashed in runs of about this many bytes, which bounds the temporary arrays.
 RUN_BYTES = 1 << 20
