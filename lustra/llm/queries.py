@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import jaccard, leaks, mixing, quality, repeats, shards, suffix_tree
+from lustra.llm import jaccard, leaks, mixing, quality, repeats, shards, suffix_tree, toxicity, urls
 
 
 #: Folder that holds the library; Python workers look for it there unless it is installed.
@@ -29,6 +29,22 @@ def op1_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumnRenamed("doc", "doc_id")
 
 
+#: Rules of the query: entry and verdict.
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+
+
+def op3_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "entry string, verdict string")
+    judged = urls.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op4_window_repeats(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = repeats.remove_repeats(table(spark, folder, "documents"))
     return cleaned.select(
@@ -97,12 +113,28 @@ def op9_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learnt = labels.filter(~toxicity.held_out(F.col("doc_id")))
+    characters = toxicity.count_characters(docs)
+    evidence = toxicity.learn_evidence(docs, learnt, characters)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), characters, evidence)
+    return scored.select(
+        "row.doc_id",
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
+    "op3_url_verdicts": op3_url_verdicts,
     "op4_window_repeats": op4_window_repeats,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_quality_ratio": op6_quality_ratio,
     "op7_mix_sources": op7_mix_sources,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_shuffle_shards": op9_shuffle_shards,
+    "op10_toxicity": op10_toxicity,
 }
