@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import jaccard, leaks, mixing, quality, repeats, shards, suffix_tree, toxicity, urls
+from lustra.llm import html, jaccard, leaks, mixing, quality, repeats, shards, suffix_tree, toxicity, urls
 
 
 #: Folder that holds the library; Python workers look for it there unless it is installed.
@@ -29,6 +29,11 @@ def op1_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumnRenamed("doc", "doc_id")
 
 
+def op2_visible_text(spark: SparkSession, folder: str) -> DataFrame:
+    extracted = html.extract_text(table(spark, folder, "pages").select("page_id", "html"))
+    return extracted.select("row.page_id", "text")
+
+
 #: Rules of the query: entry and verdict.
 URL_RULES = [
     ("org/", "allow"),
@@ -129,6 +134,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
+    "op2_visible_text": op2_visible_text,
     "op3_url_verdicts": op3_url_verdicts,
     "op4_window_repeats": op4_window_repeats,
     "op5_benchmark_leaks": op5_benchmark_leaks,

@@ -51,8 +51,11 @@ SEPARATORS = " .-_*"
 SIGN, DOUBLE, DROP = 1.0, 1.0, 0.3
 #: Starts of words that are features, in letters.
 STARTS = (4, 5)
-#: Evidence: texts that have it at least, least log odds, and the number that adds up.
-LEAST_TEXTS, LEAST_ODDS, ADDED = 5, 3.0, 4
+#: Evidence: toxic texts that have it at least, also as a share, least log odds, and the
+#: number of words that add up.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, ADDED = 5, 0.012, 4.0, 4
+#: Smallest log odds of a text without evidence: one strong feature outweighs them.
+LEAST_BASE = -7.0
 
 _SIGNS = re.escape("".join(STANDS_FOR))
 _UNIT = rf"[a-z{_SIGNS}]"
@@ -167,16 +170,22 @@ class Evidence:
         self.odds = {}
         for f, t in toxic.items():
             odds = math.log((t + 0.5) / (n_toxic + 1)) - math.log((clean[f] + 0.5) / (n_clean + 1))
-            if t >= LEAST_TEXTS and odds >= LEAST_ODDS:
+            if t >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic) and odds >= LEAST_ODDS:
                 self.odds[f] = odds
-        self.none = -6.0
+        self.none = LEAST_BASE
 
     def set_base(self, toxic_without: int, clean_without: int) -> None:
         """Odds of a text without evidence, from those seen."""
-        self.none = math.log((toxic_without + 0.5) / (clean_without + 0.5)) if toxic_without + clean_without else 0.0
+        odds = math.log((toxic_without + 0.5) / (clean_without + 0.5))
+        self.none = max(LEAST_BASE, odds)
 
     def score(self, found: set[str]) -> float:
-        best = sorted((self.odds[f] for f in found if f in self.odds), reverse=True)[:ADDED]
+        # Words with one start count once, by their strongest feature.
+        words: dict[str, float] = {}
+        for f in found & self.odds.keys():
+            start = f[: STARTS[0]]
+            words[start] = max(words.get(start, 0.0), self.odds[f])
+        best = sorted(words.values(), reverse=True)[:ADDED]
         return 1 / (1 + math.exp(-(self.none + sum(best))))
 
 
