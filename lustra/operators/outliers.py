@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -139,12 +140,13 @@ def _fit_bounds(
                 seen[f"std{i}"],
             )
             for i, c in enumerate(names)
-            if seen[f"std{i}"]
+            # An infinite cell leaves no usable mean or spread; the column is left alone.
+            if seen[f"std{i}"] and math.isfinite(seen[f"std{i}"])
         ]
     bounds = []
     for c, (q1, q3) in column_quantiles(df, values, [0.25, 0.75]).items():
-        # A column without two values, or without any spread, is left alone.
-        if q1 is None or q3 - q1 == 0:
+        # A column without two values, without any spread or with infinite quartiles is left alone.
+        if q1 is None or q3 - q1 == 0 or not math.isfinite(q3 - q1):
             continue
         reach = factor * (q3 - q1)
         bounds.append(Bounds(c, q1 - reach, q3 + reach))

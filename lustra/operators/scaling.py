@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -36,7 +37,10 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard") -> Scaler:
-    """One aggregate over all columns. A constant column has spread 1 and so becomes 0."""
+    """One aggregate over all columns. A constant column has spread 1 and so becomes 0.
+
+    A column with an infinite value raises, as no spread would keep its finite values apart.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     types = data_types(df)
@@ -55,6 +59,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard")
     parameters = {}
     for i, c in enumerate(chosen):
         low, high = seen[f"min{i}"], seen[f"max{i}"]
+        if low is not None and (math.isinf(low) or math.isinf(high)):
+            raise ValueError(f"column {c!r} holds infinite values and can't be scaled")
         if low is None:
             parameters[c] = (0.0, 1.0)
         elif low == high:

@@ -409,6 +409,29 @@ def outlier_z_drop(spark: SparkSession, folder: str) -> DataFrame:
     return remove_outliers(orders, ["price"], "zscore")
 
 
+def infinite_orders(spark: SparkSession, folder: str, share: str) -> DataFrame:
+    """Orders whose price is infinite where ``share`` holds."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    infinite = F.when(F.expr(share), F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
+    return orders.select("o_orderkey", infinite.alias("price"))
+
+
+@query
+def outlier_z_drop_infinite(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_outliers(infinite_orders(spark, folder, "o_orderkey % 50 = 0"), ["price"], "zscore")
+
+
+@query
+def outlier_z_cap_infinite(spark: SparkSession, folder: str) -> DataFrame:
+    orders = infinite_orders(spark, folder, "o_orderkey % 50 = 0")
+    return remove_outliers(orders, ["price"], "zscore", cap=True)
+
+
+@query
+def outlier_iqr_drop_infinite(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_outliers(infinite_orders(spark, folder, "o_orderkey % 5 > 0"), ["price"], "iqr")
+
+
 @query
 def outlier_auto_cap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(remove_outliers(table(spark, folder, "part"), None, "iqr", 0.4, cap=True))

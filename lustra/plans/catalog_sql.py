@@ -440,6 +440,13 @@ SELECT row_ord, price, cust_txt FROM d1 WHERE cust IS NULL OR
     "outlier_z_drop": z_score(
         "SELECT row_ord, price FROM d, s WHERE price IS NULL OR abs((price - m) / sd) < 3"
     ),
+    **dict.fromkeys(
+        ["outlier_z_drop_infinite", "outlier_z_cap_infinite"],
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN CAST('inf' AS DOUBLE) "
+        "ELSE o_totalprice END AS price FROM orders",
+    ),
+    "outlier_iqr_drop_infinite": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 "
+    "THEN CAST('inf' AS DOUBLE) ELSE o_totalprice END AS price FROM orders",
     "outlier_auto_cap": "SELECT * REPLACE ("
     + cap_all(["p_partkey", "p_size", "p_retailprice"], "part", "0.4")
     + ") FROM part",

@@ -260,3 +260,20 @@ def test_bad_feature_rules(make):
         aggregate_features(taken, {"a": {"group_by": "g", "column": "v"}})
     with pytest.raises(ValueError, match="order_by"):
         aggregate_features(df, {"a": {"group_by": "g", "column": "v", "function": "first"}})
+
+
+@pytest.mark.parametrize("method", ["standard", "minmax"])
+def test_scaling_refuses_infinite_values(make, method):
+    df = make("v double", 1.0, 2.0, float("inf"))
+    with pytest.raises(ValueError, match="infinite"):
+        normalize(df, ["v"], method)
+
+
+@pytest.mark.parametrize("cap", [False, True])
+def test_infinite_values_leave_a_column_alone(make, values, cap):
+    df = make("v double", *range_with_infinity())
+    assert values(remove_outliers(df, ["v"], "zscore", cap=cap)) == values(df)
+
+
+def range_with_infinity():
+    return [*map(float, range(30)), float("inf")]
