@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the quality rules; the model compares the trusted ones with all."""
     labels = queries.table(spark, sf_dir, "labels")
     model = quality.fit_ratio(docs, quality.trusted_ids(labels))
-    return quality.judge_quality(docs, model).filter("kept").select("row.*")
+    return quality.kept_rows(quality.judge_quality(docs, model))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,16 @@ def judge_quality(
     )
 
 
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The rows of ``judge_quality`` that are kept, with the columns of the documents.
+
+    The number of the row holds the filter above the verdict. Spark would push ``kept`` down to the
+    scan otherwise, with every shared column copied into each place that uses it.
+    """
+    numbered = judged.withColumn("__at", F.monotonically_increasing_id())
+    return numbered.filter("kept AND __at >= 0").select("row.*")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids labelled as good at least once and never as bad."""
     return (
