@@ -378,21 +378,18 @@ def _apart(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     labels = found.select(F.col("node").alias("doc"), "component")
     placed = lists.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = materialize(placed, "lists")
-    parts = placed.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("tail").alias("tail"))
-    several = parts.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    parts = materialize(parts.join(several, "key", "left_semi"), "parts")
-    left = parts.select("key", *(F.col(c).alias(f"{c}_u") for c in ("component", "low", "high", "tail")))
-    right = parts.select("key", *(F.col(c).alias(f"{c}_v") for c in ("component", "low", "high", "tail")))
-    meet = left.join(right, "key").filter(
+    several = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    # Documents of one component that the bounds cannot tell apart meet others as one.
+    kind = ["key", "component", "n", "tail"]
+    parts = materialize(placed.join(several.select("key"), "key", "left_semi").select(*kind).distinct(), "parts")
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "key"))
+    meet = side(parts, "u").join(side(parts, "v"), "key").filter(
         (F.col("component_u") < F.col("component_v"))
-        & (100 * F.col("high_u") >= percent * F.col("low_v"))
-        & (100 * F.col("high_v") >= percent * F.col("low_u"))
-        & ((100 + percent) * F.least("tail_u", "tail_v") >= percent * (F.col("low_u") + F.col("low_v")))
-    ).select("key", "component_u", "component_v")
-    us = placed.select("key", F.col("component").alias("component_u"), F.col("doc").alias("u"), F.col("n").alias("nu"), F.col("tail").alias("tu"))
-    vs = placed.select("key", F.col("component").alias("component_v"), F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("tail").alias("tv"))
-    met = meet.join(us, ["key", "component_u"]).join(vs, ["key", "component_v"])
-    return met.filter(_may_match(F.col("nu"), F.col("nv"), F.col("tu"), F.col("tv"), percent)).select("u", "v").distinct()
+        & _may_match(F.col("n_u"), F.col("n_v"), F.col("tail_u"), F.col("tail_v"), percent)
+    )
+    for x in ("u", "v"):
+        meet = meet.join(side(placed, x).withColumnRenamed(f"doc_{x}", x), ["key", *(f"{c}_{x}" for c in kind[1:])])
+    return meet.select("u", "v").distinct()
 
 
 def _labelled(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
