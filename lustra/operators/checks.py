@@ -7,9 +7,12 @@ and ``action``. Reports are lazy; a check costs at most one aggregate over its c
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +135,23 @@ def check_data_types(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     return _report(df, aggregates, rows)
 
 
+def _comparable(data_type: T.DataType, limit: Any) -> bool:
+    """Whether values of a column can be held against a limit."""
+    if isinstance(data_type, (T.NumericType, T.BooleanType)):
+        return isinstance(limit, (int, float, Decimal))
+    if isinstance(data_type, T.StringType):
+        return isinstance(limit, str)
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if isinstance(limit, str):
+            try:
+                datetime.fromisoformat(limit)
+            except ValueError:
+                return False
+            return True
+        return isinstance(limit, date)
+    return False
+
+
 def _range_parts(
     df: DataFrame, ranges: Mapping[str, Mapping[str, Any]]
 ) -> tuple[list[Column], list[Column]]:
@@ -142,12 +162,14 @@ def _range_parts(
             rows.append(_row("value_ranges", column, "exists", MISSING, None, FAILED, NO_HINT))
             continue
         value = quiet_nan(quoted(column), types[column])
+        if isinstance(types[column], T.BooleanType):
+            value = value.cast("int")
         for bound, fails in (("min", lambda v, x: v < x), ("max", lambda v, x: v > x)):
             limit = limits.get(bound)
             if limit is None:
                 continue
             expected = f"{bound} {limit}"
-            if isinstance(types[column], T.StringType) and not isinstance(limit, str):
+            if not _comparable(types[column], limit):
                 found = types[column].simpleString()
                 rows.append(_row("value_ranges", column, expected, found, None, FAILED, NO_HINT))
                 continue
@@ -172,7 +194,10 @@ def _not_null_parts(df: DataFrame, columns: Sequence[str]) -> tuple[list[Column]
 
 
 def check_value_ranges(df: DataFrame, ranges: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """Inclusive limits; null passes. Too small and too large are separate findings."""
+    """Inclusive limits; null passes. Too small and too large are separate findings.
+
+    A limit that the column's type cannot be compared with is a failure of its own.
+    """
     return _report(df, *_range_parts(df, ranges))
 
 
@@ -203,12 +228,24 @@ def check_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+def _refusal(df: DataFrame, condition: Column) -> str | None:
+    """Why a column is no condition on the table, if so."""
+    try:
+        (outcome,) = df.select(condition).schema
+    except AnalysisException as error:
+        return f"raised {type(error).__name__}: {error.getCondition()}"
+    if isinstance(outcome.dataType, (T.BooleanType, T.NullType)):
+        return None
+    return f"not a condition: {outcome.dataType.simpleString()}"
+
+
 def check_custom(df: DataFrame, validations: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Own checks: ``{name, function, args}``.
 
     ``function`` is a callable that takes the table, or a boolean column that must not be
     false. All column checks share one aggregate. A callable may return a truth value, or a
-    boolean column to be counted in the same way; an exception is a failure.
+    boolean column to be counted in the same way; an exception is a failure, and so is a column
+    that cannot be resolved or is not boolean.
     """
     aggregates, rows = [], []
     for rule in validations:
@@ -223,12 +260,14 @@ def check_custom(df: DataFrame, validations: Sequence[Mapping[str, Any]]) -> Dat
                     outcome = function(df, **rule.get("args", {}))
                 except Exception as error:
                     action = f"raised {type(error).__name__}: {error}"
+        if action is None and isinstance(outcome, Column):
+            action = _refusal(df, outcome)
         if action is None and isinstance(outcome, Column):
             alias = f"custom{len(aggregates)}"
             aggregates.append(F.count_if(~outcome).alias(alias))
             rows.append(_count_row("custom", name, "true", F.col(alias)))
             continue
-        status = FAILED if action or not outcome else PASSED
+        status = FAILED if action is not None or not outcome else PASSED
         found = None if action else str(bool(outcome)).lower()
         rows.append(_row("custom", name, "true", found, None, status, action or status))
     return _report(df, aggregates, rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +49,8 @@ def remove_duplicates(
     """Keep one row per key, or with ``keep=False`` only the rows that have no double.
 
     Text is trimmed first and stays trimmed; null equals null. ``order_by`` names the
-    unique row order that first and last refer to; it may be left out when the whole row
-    is the key. ``trimmed`` says that the text is trimmed already.
+    unique row order that first and last refer to, null being its smallest value; it may be
+    left out when the whole row is the key. ``trimmed`` says that the text is trimmed already.
 
     Every form collapses a key on the map side before the shuffle, so a key that holds a
     third of all rows arrives as one row per map task.
@@ -74,14 +74,27 @@ def remove_duplicates(
     return _pick_by_rank(table, keys, order, keep)
 
 
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _pick_by_aggregate(
     df: DataFrame, keys: list[str], rest: list[str], order: str, keep: str
 ) -> DataFrame:
-    """Fixed-width leftovers fit a hash aggregate: no sort, one row per key is shuffled."""
+    """Fixed-width leftovers fit a hash aggregate: no sort, one row per key is shuffled.
+
+    As in the rank, rows without an order value come before all others.
+    """
+    at = _sql_name(order)
+    placed = F.count(quoted(order))
+    unplaced_wins = placed < F.count(F.lit(1)) if keep == "first" else placed == 0
     pick = F.min_by if keep == "first" else F.max_by
-    chosen = df.groupBy(*[quoted(k) for k in keys]).agg(
-        *[pick(quoted(c), quoted(order)).alias(c) for c in rest]
-    )
+
+    def chosen_value(c: str) -> Column:
+        without_place = F.expr(f"first({_sql_name(c)}) FILTER (WHERE {at} IS NULL)")
+        return F.when(unplaced_wins, without_place).otherwise(pick(quoted(c), quoted(order)))
+
+    chosen = df.groupBy(*[quoted(k) for k in keys]).agg(*[chosen_value(c).alias(c) for c in rest])
     return chosen.select(*[quoted(c) for c in df.columns])
 
 
@@ -89,7 +102,7 @@ def _pick_by_rank(df: DataFrame, keys: list[str], order: list[str], keep: str) -
     """Rank-one filter; Spark prunes each map partition to one row per key before the shuffle."""
     direction = F.asc if keep == "first" else F.desc
     ranked = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(
-        *[direction("`" + o.replace("`", "``") + "`") for o in order]
+        *[direction(_sql_name(o)) for o in order]
     )
     return (
         df.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")

@@ -17,7 +17,6 @@ from lustra.session import materialize
 METHODS = ("label", "onehot")
 # Fixed value: the label class of a missing value, sorted among the other classes.
 MISSING_CLASS = "nan"
-MAX_CATEGORIES = 1_000
 # monotonically_increasing_id keeps the partition above this bit and the row below it.
 PARTITION_SHIFT = 33
 
@@ -110,14 +109,16 @@ def _text(value: Any) -> str:
 
 
 def fit_onehot(
-    df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES
+    df: DataFrame, columns: Sequence[str], max_categories: int | None = None
 ) -> OneHotEncoder:
-    """Collect the categories, which become columns; more than ``max_categories`` is an error."""
+    """Collect the categories, which become columns; with ``max_categories``, more of them are an error."""
     categories = {}
     for column in known_columns(df, columns):
         values = df.select(quoted(column).alias("v")).filter("v is not null").distinct()
-        found = [row["v"] for row in values.limit(max_categories + 1).collect()]
-        if len(found) > max_categories:
+        if max_categories is not None:
+            values = values.limit(max_categories + 1)
+        found = [row["v"] for row in values.collect()]
+        if max_categories is not None and len(found) > max_categories:
             raise ValueError(f"column {column!r} has more than {max_categories} categories")
         categories[column] = sorted(found)
     return OneHotEncoder(categories)

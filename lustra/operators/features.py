@@ -104,6 +104,12 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "all": lambda c: F.coalesce(F.bool_and(c.cast("boolean")), F.lit(True)),
     "skew": _skew,
 }
+# These take numbers and booleans only.
+NUMBER_AGGREGATES = frozenset(
+    ("mean", "sum", "prod", "std", "var", "sem", "any", "all", "skew", *MEDIAN_NAMES)
+)
+# The result has the type of the column.
+SAME_TYPE_AGGREGATES = frozenset(("min", "max", *ORDERED_NAMES))
 AGGREGATE_NAMES = tuple(AGGREGATES) + MEDIAN_NAMES + ORDERED_NAMES
 
 
@@ -119,6 +125,13 @@ class GroupFeatures:
         return df
 
 
+def _takes(function: str, data_type: T.DataType) -> bool:
+    """Whether an aggregate can be taken of values of a type."""
+    if function in NUMBER_AGGREGATES:
+        return isinstance(data_type, (T.NumericType, T.BooleanType))
+    return function in ("count", "size") or not isinstance(data_type, T.MapType)
+
+
 def fit_group_features(
     df: DataFrame,
     aggregations: Mapping[str, Mapping[str, Any]],
@@ -127,11 +140,12 @@ def fit_group_features(
     """Fit features named ``<name>_<function>`` over one group column each.
 
     Neighbouring features of the same group column share one aggregation and one join. A
-    feature may use one that was built before it. An incomplete rule, or one on unknown
-    columns, is skipped with a warning; an unknown function is an error.
+    feature may use one that was built before it. An incomplete rule, one on unknown columns,
+    or one whose function does not take values of the column's type is skipped with a warning;
+    an unknown function is an error.
     """
     batches: list[tuple[str, dict[str, tuple[str, str]]]] = []
-    known = list(df.columns)
+    known = data_types(df)
     for name, rule in aggregations.items():
         group, column, function = rule.get("group_by"), rule.get("column"), rule.get("function")
         function = function or "mean"
@@ -140,13 +154,17 @@ def fit_group_features(
             continue
         if function not in AGGREGATE_NAMES:
             raise ValueError(f"feature {name!r}: function must be one of {AGGREGATE_NAMES}")
+        if not _takes(function, known[column]):
+            found = known[column].simpleString()
+            warnings.warn(f"feature {name!r}: no {function} of {found} values", stacklevel=2)
+            continue
         feature = f"{name}_{function}"
         if feature in known:
             raise ValueError(f"feature column {feature!r} already exists")
         if not batches or batches[-1][0] != group or column in batches[-1][1]:
             batches.append((group, {}))
         batches[-1][1][feature] = (column, function)
-        known.append(feature)
+        known[feature] = known[column] if function in SAME_TYPE_AGGREGATES else T.DoubleType()
 
     lookups: list[Lookup] = []
     current = df

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +44,9 @@ INTEGER_PATTERN = r"^[+-]?\d+$"
 
 # The two bookkeeping columns of the file order: position of the block, row inside it.
 ROW_ORDER = ("_block_position", "_row_position")
-FILE_SHIFT = 42
+POSITION_BITS = 63
+# Holds the text of CSV rows whose number of cells is not that of the header.
+BROKEN = "_broken_row"
 
 
 def path_format(path: str) -> str:
@@ -83,30 +87,56 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV with a header: null tokens to null, then typed columns.
 
-    Files are split between tasks unless some record spans lines. By default that is
-    found out in one pass over the raw lines; pass ``multi_line`` if it is known.
+    Files of a folder may have their columns in different order; they are read by name. One
+    pass over the raw lines finds each file's header and whether some record spans lines, in
+    which case this file alone is read unsplit. With ``multi_line`` given there is no such
+    pass, and files whose headers differ are an error. Rows with more cells than the header
+    are an error, shorter rows end in nulls. Empty files have no rows.
     """
-    if multi_line is None:
-        multi_line = _has_open_quotes(spark, path)
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", "")
-        .csv(path)
-    )
-    names = raw.columns
+    groups = [(None, multi_line, [path])] if multi_line is not None else _alike_files(spark, path)
+    parts = []
+    for _, unsplit, paths in groups:
+        reader = (
+            spark.read.option("header", True)
+            .option("multiLine", unsplit)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("nullValue", "")
+            .option("enforceSchema", multi_line is None)
+        )
+        names = reader.csv(paths).columns
+        whole = T.StructType([T.StructField(c, T.StringType()) for c in [*names, BROKEN]])
+        reader = reader.option("columnNameOfCorruptRecord", BROKEN).option("columnPruning", False)
+        parts.append(reader.schema(whole).csv(paths))
     if row_order:
-        raw = with_row_order(raw, "csv")
+        files = [f for raw in parts for f in raw.inputFiles()]
+        parts = [with_row_order(raw, "csv", files) for raw in parts]
+    raw = reduce(DataFrame.unionByName, parts)
+    names = [c for c in parts[0].columns if c != BROKEN and c not in ROW_ORDER]
     blanked = {c: _null_tokens_to_null(c) for c in names}
-    return infer_column_types(replace_columns(raw, blanked), names)
+    bare = F.regexp_replace(BROKEN, '"[^"]*"', "")
+    overlong = F.regexp_count(bare, F.lit(",")) >= len(names)
+    return infer_column_types(replace_columns(raw, blanked), names, overlong).drop(BROKEN)
 
 
-def _has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes, so that a record may span lines."""
+def _alike_files(spark: SparkSession, path: str) -> list[tuple[str | None, bool, list[str]]]:
+    """Header, whether some line holds an odd number of quotes, and the files, per kind of file."""
+    lines = spark.read.text(path).filter(trim_text("value") != "")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    # A file's first line is the first row of its first block.
+    first = F.when(
+        F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()
+    )
+    files = (
+        lines.select(F.col("_metadata.file_path").alias("file"), first.alias("at"), "value", quotes.alias("q"))
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("header"), F.max(F.col("q") % 2).alias("open"))
+    )
+    kinds = files.groupBy("header", "open").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    found = kinds.orderBy("header", "open").collect()
+    if len(found) < 2:
+        return [(None, bool(found and found[0]["open"]), [path])]
+    return [(row["header"], bool(row["open"]), [unquote(f) for f in row["files"]]) for row in found]
 
 
 def _null_tokens_to_null(name: str):
@@ -115,9 +145,13 @@ def _null_tokens_to_null(name: str):
     return F.when(~no_value, cell)
 
 
-def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def infer_column_types(
+    df: DataFrame, columns: Sequence[str] | None = None, overlong: Column | None = None
+) -> DataFrame:
     """Type the text columns of a CSV: one aggregate, then one projection.
 
+    Rows for which ``overlong`` is true are an error; they are counted in the same aggregate.
+
     A column is numeric only if every cell that has a value reads as a number, and integer
     if all of these are whole. A column of true and false without gaps is boolean. A column
     without any value is numeric. Everything else, dates included, stays text.
@@ -130,6 +164,8 @@ def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> D
     if not names:
         return df
     counts = [F.count(F.lit(1)).alias("rows")]
+    if overlong is not None:
+        counts.append(F.count_if(overlong).alias("overlong"))
     for i, c in enumerate(names):
         text = trim_text(c)
         whole = F.when(text.rlike(INTEGER_PATTERN), text.try_cast("bigint"))
@@ -140,6 +176,8 @@ def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> D
             F.count_if(quoted(c).isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"flags{i}"),
         ]
     seen = df.agg(*counts).first()
+    if overlong is not None and seen["overlong"]:
+        raise ValueError(f"{seen['overlong']} rows have more cells than the header")
     typed = {}
     for i, c in enumerate(names):
         cells = seen[f"cells{i}"]
@@ -161,7 +199,8 @@ def read_json(
     """Read records: JSON Lines, or files that hold one array of records.
 
     The first character of the input tells the two apart unless ``multi_line`` does.
-    Strings stay strings.
+    Strings stay strings. Columns come in the order in which they appear; those that the first
+    record of an array lacks come last, by name. Malformed input is an error.
     """
     if multi_line is None:
         content = spark.read.text(path).select(F.ltrim("value").alias("value"))
@@ -169,19 +208,39 @@ def read_json(
         multi_line = first is not None and not (
             first["value"].startswith("{") and first["value"].rstrip().endswith("}")
         )
-    df = spark.read.option("multiLine", multi_line).json(path)
+    df = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    found = [c for c in _json_keys(spark, path, multi_line) if c in df.columns]
+    df = df.select(*[quoted(c) for c in found], *[quoted(c) for c in df.columns if c not in set(found)])
     return with_row_order(df, "json") if row_order else df
 
 
-def with_row_order(df: DataFrame, fmt: str) -> DataFrame:
+def _json_keys(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    """Names of the fields in order of their first appearance, in one pass over the lines."""
+    if multi_line:
+        pages = spark.read.text(path, wholetext=True)
+        record = F.coalesce(F.get_json_object("value", "$[0]"), "value")
+        first = pages.select(F.json_object_keys(record).alias("keys")).filter("keys is not null").first()
+        return first["keys"] if first else []
+    at = F.monotonically_increasing_id().cast("decimal(20,0)").alias("at")
+    keys = spark.read.text(path).select(at, F.json_object_keys("value").alias("keys"))
+    placed = keys.select("at", F.posexplode("keys").alias("pos", "key"))
+    # A sum of line and place, so that a hash aggregate can hold it.
+    place = F.col("at") * F.lit(1_000_000).cast("decimal(7,0)") + F.col("pos")
+    first = placed.groupBy("key").agg(F.min(place).alias("place"))
+    return [row["key"] for row in first.orderBy("place").collect()]
+
+
+def with_row_order(df: DataFrame, fmt: str, files: Sequence[str] | None = None) -> DataFrame:
     """Add the file order of the rows as two columns, taken directly at the scan.
 
-    Files count in name order. Within a file the first column follows the split and the
+    Files count in name order; ``files`` names them all if ``df`` reads a part of them. Within a file the first column follows the split and the
     second the row: the row index in Parquet, the reading order in text formats. Both are
     fixed by the files, so they are the same when a task runs again.
     """
     spark = df.sparkSession
-    files = sorted(_plain_path(p) for p in df.inputFiles())
+    files = sorted(_plain_path(p) for p in (files or df.inputFiles()))
+    # The file number takes the upper bits it needs; the lower ones hold the place in the file.
+    shift = POSITION_BITS - len(files).bit_length()
     numbered = spark.createDataFrame(
         list(zip(files, range(len(files)), strict=True)), "_file string, _file_number bigint"
     )
@@ -199,9 +258,11 @@ def with_row_order(df: DataFrame, fmt: str) -> DataFrame:
     unknown = F.raise_error(F.concat(F.lit("file not listed: "), F.col("_file"))).cast("bigint")
     number = F.coalesce(F.col("_file_number"), unknown)
     # One row per file, a list the driver already holds to plan the scan.
+    too_far = F.raise_error(F.concat(F.lit("file too long to be numbered: "), F.col("_file")))
+    start = F.when(F.col(block) < (1 << shift), F.col(block)).otherwise(too_far.cast("bigint"))
     return (
         placed.join(F.broadcast(numbered), "_file", "left")
-        .withColumn(block, F.shiftleft(number, FILE_SHIFT) + F.col(block))
+        .withColumn(block, F.shiftleft(number, shift) + start)
         .select(*[quoted(c) for c in df.columns], block, row)
     )
 

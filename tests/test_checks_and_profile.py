@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import pytest
@@ -191,3 +192,34 @@ def test_single_rows_merge_without_a_cross_join(make):
     assert tuple(merged.first()) == (1, "x")
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_limits_of_another_type_are_failures(make):
+    df = make("n int, s string, d date", (1, "x", datetime.date(2024, 1, 1)))
+    report = check_value_ranges(
+        df,
+        {"n": {"min": "a", "max": 5}, "s": {"min": 3}, "d": {"min": "2024-01-02", "max": 7}},
+    )
+    assert brief(report) == [
+        ("n", "min a", None, "failed"),
+        ("n", "max 5", 0, "passed"),
+        ("s", "min 3", None, "failed"),
+        ("d", "min 2024-01-02", 1, "failed"),
+        ("d", "max 7", None, "failed"),
+    ]
+
+
+def test_broken_rules_are_failures_next_to_good_ones(table):
+    report = check_custom(
+        table,
+        [
+            {"name": "unknown", "function": F.col("nope") > 1},
+            {"name": "number", "function": F.col("id") + 1},
+            {"name": "good", "function": F.col("id") > 0},
+        ],
+    )
+    assert [(r["column"], r["status"]) for r in report.collect()] == [
+        ("unknown", "failed"),
+        ("number", "failed"),
+        ("good", "passed"),
+    ]

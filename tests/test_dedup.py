@@ -79,3 +79,20 @@ def test_one_key_with_a_third_of_the_rows(spark, values):
     assert remove_duplicates(df, order_by="pos").count() == 2001
     none = remove_duplicates(df, keep=False, order_by="pos")
     assert none.count() == 2000 and none.filter("k = -1").count() == 0
+
+
+@pytest.mark.parametrize("extra", ["int", "string"])
+def test_rows_without_order_value_come_first_in_both_forms(make, values, extra):
+    df = make(
+        f"pos int, k string, v int, t {extra}",
+        *[
+            (pos, k, v, v if extra == "int" else str(v))
+            for pos, k, v in [(None, "a", 1), (2, "a", 2), (3, "b", 3), (4, "b", None), (None, "c", 5)]
+        ],
+    )
+
+    def kept(keep):
+        return values(remove_duplicates(df, ["k"], keep, "pos").select("k", "pos", "v"))
+
+    assert kept("first") == [("a", None, 1), ("b", 3, 3), ("c", None, 5)]
+    assert kept("last") == [("a", 2, 2), ("b", 4, None), ("c", None, 5)]

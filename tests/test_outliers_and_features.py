@@ -277,3 +277,23 @@ def test_infinite_values_leave_a_column_alone(make, values, cap):
 
 def range_with_infinity():
     return [*map(float, range(30)), float("inf")]
+
+
+def test_features_of_unfit_types_are_skipped(make, values):
+    df = make("g int, t string, v int", (1, "x", 2), (1, None, 4))
+    rules = {
+        "a": {"group_by": "g", "column": "t", "function": "mean"},
+        "b": {"group_by": "g", "column": "t", "function": "any"},
+        "c": {"group_by": "g", "column": "t", "function": "max"},
+        "d": {"group_by": "g", "column": "c_max", "function": "median"},
+        "e": {"group_by": "g", "column": "v", "function": "mean"},
+    }
+    with pytest.warns(UserWarning, match="no median of string"):
+        found = aggregate_features(df, rules)
+    assert found.columns == ["g", "t", "v", "c_max", "e_mean"]
+    assert values(found, "v", "c_max", "e_mean") == [(2, "x", 3.0), (4, "x", 3.0)]
+
+
+def test_onehot_has_no_bound_of_its_own(spark):
+    df = spark.range(1100).withColumnRenamed("id", "n")
+    assert len(fit_onehot(df, ["n"]).categories["n"]) == 1100

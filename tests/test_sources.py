@@ -123,3 +123,37 @@ def test_row_order_is_taken_at_the_scan(spark, tmp_path):
     spark.range(10).coalesce(1).write.parquet(path)
     df = with_row_order(spark.read.parquet(path), "parquet").filter("id > 5")
     assert [r[ROW_ORDER[1]] for r in df.orderBy("id").collect()] == [6, 7, 8, 9]
+
+
+def test_csv_files_are_read_by_name(spark, tmp_path, values):
+    write(tmp_path / "t.csv" / "1.csv", "a,b\n1,x\n")
+    write(tmp_path / "t.csv" / "2.csv", 'b,a\n"y\nz",2\n')
+    write(tmp_path / "t.csv" / "3.csv", "")
+    df = read_table(spark, str(tmp_path / "t.csv"), row_order=True)
+    assert df.columns[:2] == ["a", "b"]
+    assert [tuple(r)[:2] for r in df.orderBy(*ROW_ORDER).collect()] == [(1, "x"), (2, "y\nz")]
+    assert values(read_csv(spark, str(tmp_path / "t.csv"))) == [(1, "x"), (2, "y\nz")]
+
+
+def test_csv_rows_longer_than_the_header_are_an_error(spark, tmp_path, values):
+    with pytest.raises(ValueError, match="1 rows have more cells"):
+        read_csv(spark, write(tmp_path / "t.csv", "a,b\n1,2\n3,4,5\n"))
+    short = write(tmp_path / "s.csv", 'a,b,c\n1,"x,y",2\n3,"x,y"\n4\n')
+    assert values(read_csv(spark, short)) == [(1, "x,y", 2), (3, "x,y", None), (4, None, None)]
+
+
+def test_csv_repeated_names_stay_apart(spark, tmp_path):
+    assert read_csv(spark, write(tmp_path / "t.csv", "a,a,b\n1,2,3\n")).first()[:] == (1, 2, 3)
+
+
+def test_malformed_json_is_an_error(spark, tmp_path):
+    path = write(tmp_path / "t.json", '{"a": 1}\n{"a": \n{"a": 3}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_table(spark, path, "json").collect()
+
+
+def test_json_columns_come_in_file_order(spark, tmp_path):
+    lines = write(tmp_path / "l.json", '{"z": 1, "a": 2}\n{"m": 0, "b": 3, "z": 4}\n')
+    assert read_table(spark, lines).columns == ["z", "a", "m", "b"]
+    array = write(tmp_path / "a.json", '[{"z": 1, "a": 2},\n{"m": 0, "z": 4}]')
+    assert read_table(spark, array).columns == ["z", "a", "m"]
