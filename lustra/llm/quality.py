@@ -79,11 +79,12 @@ def fit_ratio(
 ) -> RatioModel:
     """Count the bins over all of ``docs`` and over those whose id is in ``trusted``.
 
-    Only the counts, two per bin, reach the driver.
+    Only the counts, two per bin, reach the driver. The trusted ids grow with the corpus, so they
+    meet the texts by a shuffle at every size and are never broadcast.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = trusted.select(F.col(id_col).alias("id")).distinct()
-    marked = texts.join(ids.withColumn("is_trusted", F.lit(1)), "id", "left").select(
+    marked = texts.join(ids.withColumn("is_trusted", F.lit(1)).hint("merge"), "id", "left").select(
         words_of(F.col("text")).alias("words"), F.coalesce("is_trusted", F.lit(0)).alias("is_trusted")
     )
     counts = (
