@@ -574,6 +574,13 @@ def check_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return check_value_ranges(dirty_orders(spark, folder), ranges)
 
 
+@query
+def check_ranges_mistyped(spark: SparkSession, folder: str) -> DataFrame:
+    """Limits that do not fit the type of a column, next to one that does."""
+    ranges = {"price": {"min": "low", "max": 400000}, "priority": {"max": 3}}
+    return check_value_ranges(dirty_orders(spark, folder), ranges)
+
+
 @query
 def check_nulls(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["order_id", "cust_txt", "price", "priority", "order_ts", "weight"]

@@ -512,6 +512,15 @@ FROM j LEFT JOIN h ON j.status = h.status
         count_row("value_ranges", "order_id", "min 0", "count(*) FILTER (order_id < 0)", D),
         missing_row("value_ranges", "weight"),
     ),
+    "check_ranges_mistyped": union(
+        report_row(
+            "value_ranges", "price", "min low", "'double'", "NULL", "'failed'", "'validation failed'"
+        ),
+        count_row("value_ranges", "price", "max 400000", "count(*) FILTER (price > 400000)", D),
+        report_row(
+            "value_ranges", "priority", "max 3", "'string'", "NULL", "'failed'", "'validation failed'"
+        ),
+    ),
     "check_nulls": union(
         *[
             count_row("not_null", c, "no nulls", f"count(*) FILTER ({c} IS NULL)", D)
