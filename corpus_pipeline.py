@@ -20,9 +20,9 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; the model compares the trusted ones with all."""
-    labels = queries.table(spark, sf_dir, "labels")
-    model = quality.fit_ratio(docs, quality.trusted_ids(labels))
-    return quality.kept_rows(quality.judge_quality(docs, model))
+    trusted = quality.trusted_ids(queries.table(spark, sf_dir, "labels"))
+    model = quality.count_bins(docs, trusted)
+    return quality.kept_rows(quality.judge_against(docs, trusted, model, group_col="lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,24 +2,34 @@
 
 The words and word pairs of the trusted documents and of the whole corpus are hashed into a
 fixed number of bins, which gives two multinomials. A document's score is the mean over its
-n-grams of the logarithm of trusted over raw probability; it is kept if the score reaches a
-fixed threshold and the counts are in order. Everything is DataFrame expressions: higher-order
-functions inside a row, one hash aggregate over the bins, and weights of fixed size.
+n-grams of the logarithm of trusted over raw probability. Everything is DataFrame expressions:
+higher-order functions inside a row, one hash aggregate over the bins, and counts of fixed size.
+
+``judge_against`` is what the query and the pipeline use. Its ratio compares the trusted count of a bin
+with the count to be expected from the raw one, both with ``PRIOR`` observations added, so that
+a bin without evidence says nothing, and it leaves out the document's own n-grams. A document is kept
+if its counts are in order and its score is not far below the middle score of its group (its language).
+How far is told by the spread of all scores, so the rule is the same at every size of the corpus.
+
+``fit_ratio`` and ``judge_quality`` are the plain form: weights of fixed smoothing, one fixed threshold. Its
+scores move with the size of the corpus.
 
 Null and empty texts have no words and fail. Rows are judged one by one, so repeated ids and
 rows stay. A trusted id that occurs several times counts once. Without trusted documents all
-weights are 0 and the counts alone decide.
+scores are 0 and the counts alone decide.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lustra.llm.texts import WHITE_CHARS
+from lustra.session import materialize
 
 #: Bins of the hashed n-grams: the size of the model, whatever the corpus.
 BINS = 1 << 15
@@ -27,8 +37,20 @@ BINS = 1 << 15
 SMOOTHING = 0.01
 #: Smallest mean log ratio of a kept document.
 THRESHOLD = -0.055
+#: Observations that say a bin is as frequent in trusted texts as in all.
+PRIOR = 10.0
+#: A kept document's score is at most so many spreads of all scores below the middle of its group.
+SPREADS = 8.0
+#: A group's middle is mixed with that of all documents, which counts as so many. Smaller groups have no own.
+GROUP_PRIOR = 3
+#: Ranks of the middle and the spread are exact to one in so many.
+RANKS = 10_000
+#: Spread at least, for tables whose texts are nearly all alike.
+LEAST_SPREAD = 0.005
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
+#: Counts of a text.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words_of(text: Column) -> Column:
@@ -53,6 +75,11 @@ def with_hashes(df: DataFrame) -> DataFrame:
     return df.withColumn("pairs", F.zip_with(*_followers("h", "n", 1), lambda a, b: F.xxhash64(a, b)))
 
 
+def _listed(values: list[str]) -> Column:
+    """An array of doubles that does not make the plan larger than its text."""
+    return F.split(F.lit(",".join(values)), ",").cast("array<double>")
+
+
 @dataclass(frozen=True)
 class RatioModel:
     """Log ratio of each bin."""
@@ -61,14 +88,47 @@ class RatioModel:
 
     def score(self) -> Column:
         """Mean log ratio of the n-grams in columns ``h`` and ``pairs``; 0 without words."""
-        listed = ",".join(f"{w:.5f}" for w in self.weights)
-        table = F.split(F.lit(listed), ",").cast("array<double>")
+        table = _listed([f"{w:.5f}" for w in self.weights])
         bins = len(self.weights)
         add = lambda acc, x: acc + F.get(table, F.pmod(x, F.lit(bins)).cast("int"))
         total = F.aggregate(F.concat("h", "pairs"), F.lit(0.0), add)
         return F.when(F.col("n") > 0, total / (2 * F.col("n") - 1)).otherwise(F.lit(0.0))
 
 
+@dataclass(frozen=True)
+class CountedRatio:
+    """Counts of each bin in all documents and in the trusted ones."""
+
+    raw: tuple[int, ...]
+    target: tuple[int, ...]
+
+    def scores(self, prior: float) -> tuple[Column, dict[str, Column]]:
+        """Mean log ratio of the n-grams in ``runs``, bins of a text with their counts, next to the other texts.
+
+        ``trusted`` is the score of a text whose n-grams are part of the trusted counts, and ``other`` that
+        of one whose n-grams are not. Both are part of the raw counts. The score uses the columns told.
+        """
+        if not sum(self.target):
+            return F.struct(F.lit(0.0).alias("trusted"), F.lit(0.0).alias("other")), {}
+        raw, target = (_listed([str(c) for c in counts]) for counts in (self.raw, self.target))
+        none, size, total = F.lit(0.0), 2.0 * F.col("n") - 1.0, float(sum(self.target))
+        all_others = F.greatest(float(sum(self.raw)) - size, F.lit(1.0))
+
+        def mean(seen: Callable[[Column], Column], share: Column) -> Column:
+            def add(acc: Column, run: Column) -> Column:
+                others = F.greatest(F.get(raw, run["bin"]) - run["n"], none)
+                return acc + run["n"] * F.log((seen(run) + prior) / (others * share + prior))
+
+            return F.when(F.col("n") > 0, F.aggregate("runs", none, add) / size).otherwise(none)
+
+        trusted = mean(lambda run: F.greatest(F.get(target, run["bin"]) - run["n"], none), F.col("own_share"))
+        other = mean(lambda run: F.get(target, run["bin"]), F.col("share"))
+        return F.struct(trusted.alias("trusted"), other.alias("other")), {
+            "own_share": F.greatest(total - size, none) / all_others,
+            "share": total / all_others,
+        }
+
+
 def fit_ratio(
     docs: DataFrame,
     trusted: DataFrame,
@@ -77,6 +137,21 @@ def fit_ratio(
     bins: int = BINS,
     smoothing: float = SMOOTHING,
 ) -> RatioModel:
+    """Weights of the plain form, from the counts of the bins."""
+    counted = count_bins(docs, trusted, id_col, text_col, bins)
+    if not sum(counted.target):
+        return RatioModel((0.0,) * bins)
+
+    def logs(values: tuple[int, ...]) -> list[float]:
+        total, extra = sum(values), smoothing * sum(values) / bins
+        return [math.log((v + extra) / (total * (1 + smoothing))) for v in values]
+
+    return RatioModel(tuple(t - r for t, r in zip(logs(counted.target), logs(counted.raw), strict=True)))
+
+
+def count_bins(
+    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS
+) -> CountedRatio:
     """Count the bins over all of ``docs`` and over those whose id is in ``trusted``.
 
     Only the counts, two per bin, reach the driver. The trusted ids grow with the corpus, so they
@@ -97,14 +172,7 @@ def fit_ratio(
     raw, target = [0] * bins, [0] * bins
     for row in counts:
         raw[row["bin"]], target[row["bin"]] = row["raw"], row["target"]
-    if not sum(target):
-        return RatioModel((0.0,) * bins)
-
-    def logs(values: list[int]) -> list[float]:
-        total, extra = sum(values), smoothing * sum(values) / bins
-        return [math.log((v + extra) / (total * (1 + smoothing))) for v in values]
-
-    return RatioModel(tuple(t - r for t, r in zip(logs(target), logs(raw), strict=True)))
+    return CountedRatio(tuple(raw), tuple(target))
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
@@ -127,6 +195,46 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long"))
 
 
+def with_runs(df: DataFrame, bins: int) -> DataFrame:
+    """Add ``runs``: the bins of the n-grams with their counts."""
+    in_order = F.sort_array(F.transform(F.concat("h", "pairs"), lambda x: F.pmod(x, F.lit(bins)).cast("int")))
+    df = df.withColumn("bins", in_order)
+    ends = F.filter(F.transform("bins", lambda b, i: F.when(~F.get("bins", i + 1).eqNullSafe(b), i)), lambda i: i.isNotNull())
+    df = df.withColumn("ends", ends)
+    before = F.concat(F.array(F.lit(-1)), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))))
+    run = lambda e, b: F.struct(F.get("bins", e).alias("bin"), (e - b).cast("double").alias("n"))
+    return df.withColumn("runs", F.when(F.size("ends") > 0, F.zip_with("ends", before, run)))
+
+
+def _measured(
+    docs: DataFrame, text_col: str, columns: Sequence[str] = ("*",), prepared: Callable[[DataFrame], DataFrame] | None = None, **scores: Column
+) -> DataFrame:
+    """``row`` (a struct of the named columns), the counts of its text, and the scores.
+
+    ``prepared`` adds the columns that the scores use.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df = docs.select(F.struct(*columns).alias("row"), text.alias("text"), words_of(F.col(text_col)).alias("words"))
+    df = _with_repeats(with_hashes(df))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    df = df.withColumn("lines", lines)
+    if prepared:
+        df = prepared(df)
+    return df.select(
+        "row",
+        F.col("n").cast("long").alias("n_words"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "n_repeat_words",
+        *(score.alias(name) for name, score in scores.items()),
+    )
+
+
+def _base_failed(min_words: int, max_repeated_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))
+
+
 def judge_quality(
     docs: DataFrame,
     model: RatioModel,
@@ -136,30 +244,75 @@ def judge_quality(
     max_repeated_percent: int = MAX_REPEATED_PERCENT,
 ) -> DataFrame:
     """``row`` (a struct of all given columns) and the verdict columns, one row for each row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.struct("*").alias("row"), text.alias("text"), words_of(F.col(text_col)).alias("words"))
-    df = _with_repeats(with_hashes(df))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = df.withColumn("lines", lines)
     return (
-        df.select(
-            "row",
-            F.col("n").cast("long").alias("n_words"),
-            F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-            F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            "n_repeat_words",
-            model.score().alias("log_ratio"),
-        )
-        .withColumn(
-            "base_failed",
-            (F.col("n_words") < min_words)
-            | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words")),
-        )
+        _measured(docs, text_col, log_ratio=model.score())
+        .withColumn("base_failed", _base_failed(min_words, max_repeated_percent))
         .withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
     )
 
 
+def judge_against(
+    docs: DataFrame,
+    trusted: DataFrame,
+    model: CountedRatio,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group_col: str | None = None,
+    columns: Sequence[str] = ("*",),
+    prior: float = PRIOR,
+    spreads: float = SPREADS,
+    min_words: int = MIN_WORDS,
+    max_repeated_percent: int = MAX_REPEATED_PERCENT,
+) -> DataFrame:
+    """``row`` (a struct of the named columns) and the verdict columns, one row for each row of ``docs``.
+
+    ``model`` counts the bins of these documents and of those in ``trusted``. The ids of the latter meet the
+    scored rows by a shuffle, and the rows are written once, so ``columns`` should name no text that is not
+    wanted. Middles and spread are those of all documents of ``min_words`` words, copies counted once; only they
+    reach the driver, one middle for each group of ``GROUP_PRIOR`` documents.
+    """
+    score, shares = model.scores(prior)
+    ids = trusted.select(F.col(id_col).alias("id")).distinct().withColumn("is_trusted", F.lit(True)).hint("merge")
+    asked = docs.select(
+        F.struct(*columns).alias("row"),
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(group_col).cast("string") if group_col else F.lit(None), F.lit("")).alias("group"),
+        F.col(text_col).alias("text"),
+    )
+    measured = _measured(asked, "text", ["row", "id", "group"], lambda df: with_runs(df, len(model.raw)).withColumns(shares), scores=score)
+    own = F.when(F.col("is_trusted"), F.col("scores.trusted")).otherwise(F.col("scores.other"))
+    scored = materialize(
+        measured.withColumn("id", F.col("row.id"))
+        .join(ids, "id", "left")
+        .select(
+            F.col("row.row").alias("row"),
+            F.col("row.group").alias("group"),
+            *COUNTS,
+            own.alias("log_ratio"),
+            _base_failed(min_words, max_repeated_percent).alias("base_failed"),
+        ),
+        "quality",
+    )
+
+    counted = scored.filter(F.col("n_words") >= min_words).select("group", "log_ratio", *COUNTS).distinct()
+    middle_of = lambda x: F.percentile_approx(x, 0.5, RANKS)
+    middle = counted.agg(middle_of("log_ratio").alias("m")).first()["m"] or 0.0
+    groups = counted.groupBy("group").agg(middle_of("log_ratio").alias("m"), F.count(F.lit(1)).alias("n"))
+    own_middle = [
+        F.lit(x)
+        for r in groups.filter(F.col("n") >= GROUP_PRIOR).collect()
+        for x in (r["group"], (r["n"] * r["m"] + GROUP_PRIOR * middle) / (r["n"] + GROUP_PRIOR))
+    ]
+    centre = F.lit(middle)
+    if own_middle:
+        centre = F.coalesce(F.element_at(F.create_map(*own_middle), F.col("group")), centre)
+    distance = middle_of(F.abs(F.col("log_ratio") - centre))
+    # 1.4826 makes the middle distance of a normal distribution its standard deviation.
+    spread = max(LEAST_SPREAD, 1.4826 * (counted.agg(distance.alias("d")).first()["d"] or 0.0))
+    near = F.col("log_ratio") >= centre - spreads * spread
+    return scored.withColumn("kept", ~F.col("base_failed") & near).drop("group")
+
+
 def kept_rows(judged: DataFrame) -> DataFrame:
     """The rows of ``judge_quality`` that are kept, with the columns of the documents.
 

@@ -72,8 +72,9 @@ def op5_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_quality_ratio(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = quality.fit_ratio(docs, quality.trusted_ids(table(spark, folder, "labels")))
-    return quality.judge_quality(docs, model).select(
+    trusted = quality.trusted_ids(table(spark, folder, "labels"))
+    model = quality.count_bins(docs, trusted)
+    return quality.judge_against(docs, trusted, model, group_col="lang", columns=["doc_id"]).select(
         "row.doc_id",
         "n_words",
         "word_chars",

@@ -176,6 +176,56 @@ def test_quality_ratio(spark):
     assert set(quality.fit_ratio(df, spark.createDataFrame([], "doc_id long"), bins=8).weights) == {0.0}
 
 
+def test_counted_ratio_leaves_own_grams_out(spark):
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), 42)))
+    rows = [(1, "good text here and more good text"), (2, "junk junk !! junk"), (3, None), (4, "good junk"), (None, "more text here"), (5, "good text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(1,), (1,), (3,), (5,)], "doc_id long")
+
+    def bins(text):
+        h = [word(w) for w in (text or "").split()]
+        return Counter(x % 64 for x in [*h, *(pair(a, b) for a, b in zip(h, h[1:], strict=False))])
+
+    raw, target = sum((bins(t) for _, t in rows), Counter()), bins(rows[0][1]) + bins("good text")
+    found = quality.judge_against(df, trusted, quality.count_bins(df, trusted, bins=64), prior=3.0).collect()
+    assert sorted(str(r["row"]["doc_id"]) for r in found) == ["1", "2", "3", "4", "5", "None"]
+    for r in found:
+        own = bins(r["row"]["text"])
+        t, a = target - own if r["row"]["doc_id"] in (1, 3, 5) else target, raw - own
+        share = t.total() / a.total()
+        expected = sum(n * math.log((t[b] + 3) / (a[b] * share + 3)) for b, n in own.items()) / own.total() if own else 0.0
+        assert r["log_ratio"] == pytest.approx(expected, abs=1e-9)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_unlabelled_clean_texts_are_kept(spark, folder):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{name}.parquet") for name in ("documents", "labels"))
+    # Half of the good documents lose their label, and four of five texts that are not English their place.
+    good = quality.trusted_ids(labels).withColumn("good", F.lit(True))
+    rare = docs.filter((F.col("lang") == "en") | (F.col("doc_id") % 10 < 2)).select("doc_id", "lang", "text")
+    trusted = good.filter(F.col("doc_id") % 2 == 0).select("doc_id")
+    judged = quality.judge_against(rare, trusted, quality.count_bins(rare, trusted), group_col="lang", columns=["doc_id", "lang"])
+    rows = judged.filter(~F.col("base_failed")).select("row.*", "kept").join(good, "doc_id", "left").toPandas()
+    unlabelled = rows[(rows.good == True) & (rows.doc_id % 2 == 1)]  # noqa: E712
+    assert len(unlabelled) > 20 and unlabelled.kept.mean() >= 0.99 and unlabelled[unlabelled.lang != "en"].kept.mean() >= 0.95
+    bad = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q = 0").select("doc_id").toPandas().doc_id
+    assert rows[rows.doc_id.isin(bad)].kept.mean() < 0.9
+
+
+def test_copies_do_not_narrow_the_rule(spark):
+    draw = random.Random(4)
+    text = lambda: " ".join(f"w{draw.randint(0, 300)}" for _ in range(80))
+    rows = [(i, "x", t) for i, t in enumerate([text()] * 60 + [text() for _ in range(40)])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    trusted = df.filter("doc_id % 2 = 0").select("doc_id")
+    judged = quality.judge_against(df, trusted, quality.count_bins(df, trusted), group_col="lang")
+    assert judged.filter("kept").count() == 100
+
+
 def test_suffix_tree_scores(docs, texts):
     held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
     counts = Counter(w for i, t in enumerate(texts) if i not in held for w in [*(t or "").encode().lower().split(), "end"])
