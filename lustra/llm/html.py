@@ -8,7 +8,8 @@ columns.
 
 Pages are independent, so Spark works on them in narrow passes. Null and empty pages give an empty
 text. Repeated rows are rendered one by one. Elements deeper than ``DEEPEST`` join their
-ancestor at that depth, as in browsers; no text is lost.
+ancestor at that depth, as in browsers; no text is lost. Of svg, text is shown where it stands, but not
+again where ``use`` refers to it.
 """
 
 from __future__ import annotations
@@ -54,7 +55,20 @@ IMPLIED = {
 SCOPES = frozenset("table td th caption html".split())
 HIDDEN = frozenset(
     "head script style template noscript title meta link base datalist audio video canvas object iframe "
-    "embed noembed noframes param source track area map svg math rp".split()
+    "embed noembed noframes param source track area rp".split()
+)
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements of svg and math whose content is HTML again.
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Start tags that end svg and math.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements of svg whose content is not displayed where they stand.
+HIDDEN_SVG = frozenset(
+    "clippath defs desc filter lineargradient marker mask metadata pattern radialgradient script style symbol title".split()
 )
 _TAG = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)"
@@ -89,7 +103,21 @@ def parse(page: str) -> Element:
 
     def add_text(text: str) -> None:
         if text:
-            stack[-1].children.append(html.unescape(text))
+            text = html.unescape(text)
+            if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
+                stack.pop()
+            stack[-1].children.append(text)
+
+    def foreign() -> int:
+        """Place of the svg or math element whose content the next tag is, or 0."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in ("svg", "math"):
+                return i
+            if stack[i].tag in INTEGRATION:
+                return 0
+        return 0
+
+    any_foreign = False
 
     at = 0
     for match in iter(lambda: _TAG.search(page, at), None):
@@ -100,8 +128,10 @@ def parse(page: str) -> Element:
         tag = match[2].lower()
         if match[1]:
             if tag == "br":
+                if stack[-1].tag == "head":
+                    stack.pop()
                 stack[-1].children.append(Element("br"))
-            elif tag == "p" and not any(e.tag == "p" for e in stack):
+            elif tag == "p" and stack[-1].tag != "head" and not any(e.tag == "p" for e in stack):
                 stack[-1].children.append(Element("p"))
             else:
                 limits = SCOPES - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else {"html"}
@@ -118,14 +148,24 @@ def parse(page: str) -> Element:
             close({"head"}, frozenset())
             root.attributes.update({k: v for k, v in attributes.items() if k not in root.attributes})
             continue
-        if tag in CLOSES_P:
-            close({"p"}, SCOPES | {"button"})
-        if tag in BLOCKS and stack[-1].tag == "head":
+        at_foreign = foreign() if any_foreign else 0
+        if at_foreign and (tag in BREAKOUT or (tag == "font" and attributes.keys() & {"color", "face", "size"})):
+            while at_foreign:
+                del stack[at_foreign:]
+                at_foreign = foreign()
+        if tag == "head" and (len(stack) > 1 or any(not isinstance(x, str) or x.strip(" \t\n\f\r") for x in root.children)):
+            continue
+        if tag not in IN_HEAD and stack[-1].tag == "head":
             stack.pop()
-        if tag in IMPLIED:
+        if tag in CLOSES_P and not at_foreign:
+            close({"p"}, SCOPES | {"button"})
+        if tag in IMPLIED and not at_foreign:
             close(*IMPLIED[tag])
         element = Element(tag, attributes)
         stack[-1].children.append(element)
+        any_foreign = any_foreign or tag in ("svg", "math")
+        if (at_foreign or tag in ("svg", "math")) and re.search(r"(?:^|[\s\"'])/\Z|^[^=]*/\Z", match[3]):
+            continue
         if tag in RAW or tag in RAW_WITH_REFERENCES:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             text = page[at : end.start() if end else len(page)]
@@ -220,12 +260,16 @@ def _render(element: Element, out: _Lines, preformatted: bool) -> None:
         if not visible(child):
             continue
         tag = child.tag
+        if tag.startswith("annotation") and element.tag == "semantics":
+            continue
         if tag == "br":
             out.line_break()
         elif tag == "input":
             out.text(child.attributes.get("value", "") or child.attributes.get("placeholder", ""))
         elif tag == "table":
             out.block(_table(child), True, True)
+        elif tag == "svg":
+            _svg(child, out, False)
         elif tag == "li":
             inner = _block(child, preformatted).lines
             if number is None:
@@ -253,6 +297,25 @@ def _render(element: Element, out: _Lines, preformatted: bool) -> None:
             _render(child, out, preformatted)
 
 
+def _svg(element: Element, out: _Lines, shown: bool) -> None:
+    """Add the text elements and the embedded HTML of an svg."""
+    for child in element.children:
+        if isinstance(child, str):
+            if shown:
+                out.text(child)
+        elif child.tag in HIDDEN_SVG or not visible(child) or child.attributes.get("display") == "none" or child.attributes.get("visibility") == "hidden":
+            continue
+        elif child.tag == "foreignobject":
+            inside = _block(child, False)
+            out.block(inside.lines, inside.lead, inside.trail)
+        elif child.tag == "text":
+            out.text(" ")
+            _svg(child, out, True)
+            out.text(" ")
+        else:
+            _svg(child, out, shown)
+
+
 def _first_number(element: Element) -> int | None:
     if element.tag != "ol":
         return None

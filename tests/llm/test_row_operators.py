@@ -133,6 +133,26 @@ def test_visible_text(page, text):
     assert html.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<head><title>T</title>Hello <b>world</b>", "Hello world"),
+        ("<head><title>T</title><a href=x>Home<p>One</a>", "Home\n\nOne"),
+        ("<html><head>\n<meta charset=x><!-- c -->\n<style>s</style><noscript>n<img></noscript>\n<span>a</span>b</html>", "ab"),
+        ("<head><template>t</template><custom-tag>c", "c"),
+        ("<p>a<head>b</head>c", "abc"),
+        ("<head></p></br>x", "x"),
+        ("a<svg><title>t</title><defs><text>no</text></defs><path d='M0/'/><g><text x=1>One</text><text>Two <tspan>three</tspan></text></g>loose</svg>b", "a One Two three b"),
+        ("<svg viewBox='0 0 1 1'><style/><path/><text display=none>no</text><foreignObject><div>in</div></foreignObject></svg>b", "in\nb"),
+        ("<svg><path d=x><g><p>out", "out"),
+        ("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math>", "x=1"),
+        ("<map name=m><area href=x>where <a href=y>there</a></map>", "where there"),
+    ],
+)
+def test_visible_text_after_heads_and_in_drawings(page, text):
+    assert html.visible_text(page) == text
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, "<p>x", "a"), (1, "<p>x", "a"), (2, None, "b")], "page_id long, html string, text string")
     assert sorted(r["text"] for r in html.extract_text(df).collect()) == ["", "x", "x"]
