@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import html, jaccard, leaks, mixing, quality, repeats, shards, suffix_tree, toxicity, urls
+from lustra.llm import html, jaccard, leaks, merkle, mixing, quality, repeats, shards, suffix_tree, toxicity, urls
 
 
 #: Folder that holds the library; Python workers look for it there unless it is installed.
@@ -133,6 +133,28 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Columns of a leaf, in the order they are hashed.
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    lowered = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in LEAF_COLUMNS]
+    is_tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(is_tampered, merkle.leaf_digest(lowered))
+    proved = merkle.build_manifest(docs, LEAF_COLUMNS, extra={"tampered": tampered}).proofs()
+    folded = proved.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(merkle.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("extra.tampered", "leaf"), F.col("proof")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_visible_text": op2_visible_text,
@@ -144,4 +166,5 @@ QUERIES = {
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_shuffle_shards": op9_shuffle_shards,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_proofs": op11_merkle_proofs,
 }
