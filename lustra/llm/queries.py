@@ -8,7 +8,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import html, jaccard, leaks, merkle, mixing, quality, repeats, shards, suffix_tree, toxicity, urls
+from lustra.llm import (
+    html,
+    jaccard,
+    leaks,
+    merkle,
+    mixing,
+    quality,
+    repeats,
+    secret_scan,
+    shards,
+    suffix_tree,
+    toxicity,
+    urls,
+    whitening,
+)
 
 
 #: Folder that holds the library; Python workers look for it there unless it is installed.
@@ -155,6 +169,29 @@ def op11_merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding").rows.withColumnRenamed("id", "vec_id")
+
+
+def _is_kind(kind: str):
+    return lambda finding: finding["kind"] == kind
+
+
+def op13_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = secret_scan.Ledger.create(spark)
+    scanned = secret_scan.scan_versions(table(spark, folder, "documents"), ledger).rows
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
+    counts = [
+        F.size(F.filter("findings", _is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in kinds
+    ]
+    return scanned.select(
+        "row.doc_id",
+        *counts,
+        F.sha2(secret_scan.spelt(F.col("findings"), kinds), 256).alias("base_sha256"),
+        secret_scan.spelt(F.col("findings")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_visible_text": op2_visible_text,
@@ -167,4 +204,6 @@ QUERIES = {
     "op9_shuffle_shards": op9_shuffle_shards,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_proofs": op11_merkle_proofs,
+    "op12_whitening": op12_whitening,
+    "op13_secret_spans": op13_secret_spans,
 }
