@@ -1,3 +1,127 @@
-"""SQL counterparts, run by DuckDB over the same tables, of the queries that SQL can express."""
+"""SQL counterparts of the queries, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+#: Words of a text: runs without white space.
+WHITE = r"[\x20\x09-\x0D]+"
+
+
+def _any_case(word: str) -> str:
+    """A pattern for ASCII letters in either case; the flag would also take other letters that fold to them."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text: byte by byte and bit by bit."""
+    bits = "list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, bit: xor(v >> 1, 3988292384 * (v & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda crc, byte: {bits}), 4294967295::bigint)"
+
+
+def _merkle() -> str:
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""rows as (
+            select doc_id, dense_rank() over (order by lang nulls first) - 1 as tree, {digest("text")} as leaf,
+                   case when {_crc32("doc_id::varchar")} % 3 = 0 then {digest(lowered)} end as tampered
+            from documents)""",
+        """g0 as (
+            select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos,
+                   leaf as h, count(*) over (partition by tree) as n
+            from rows)""",
+    ]
+
+    def levels(name: str, count: int) -> None:
+        """The runs of each level, as lists, and the level above."""
+        for k in range(count):
+            parts.append(
+                f"""{name}runs{k} as (
+                    select tree, pos // 8 as run, list(h order by pos) as hs, any_value(n) as n
+                    from {name}{k} where n > 1 group by tree, pos // 8)"""
+            )
+            parts.append(
+                f"""{name}{k + 1} as (
+                    select tree, run as pos, sha256(array_to_string(hs, '')) as h, (n + 7) // 8 as n from {name}runs{k}
+                    union all select tree, pos, h, n from {name}{k} where n = 1)"""
+            )
+
+    def fold(name: str, trees: str, count: int) -> None:
+        for k in range(count):
+            left, right = "array_to_string(hs[:p.pos % 8], '')", "array_to_string(hs[p.pos % 8 + 2:], '')"
+            parts.append(
+                f"""{name}{k + 1} as (
+                    select p.* replace (
+                        p.pos // 8 as pos,
+                        case when r.run is null then node else sha256({left} || node || {right}) end as node,
+                        case when r.run is null then siblings else siblings || {left} || {right} end as siblings)
+                    from {name}{k} p left join {trees}runs{k} r on r.tree = p.tree and r.run = p.pos // 8)"""
+            )
+
+    levels("g", 8)
+    parts.append("t0 as (select 0 as tree, tree as pos, h, (select count(distinct tree) from rows) as n from g8)")
+    levels("t", 3)
+    parts.append("p0 as (select doc_id, tree, pos, leaf, coalesce(tampered, leaf) as node, '' as siblings from g0)")
+    fold("p", "g", 8)
+    parts.append("q0 as (select p8.* replace (0 as tree, tree as pos), g8.h as subroot from p8 join g8 using (tree))")
+    fold("q", "t", 3)
+    return (
+        "with "
+        + ",\n".join(parts)
+        + """
+        select doc_id, leaf, subroot, t3.h as root, sha256(siblings) as proof_sha256, node as folded_root, node = t3.h as verified
+        from q3, t3"""
+    )
+
+
+def _secrets() -> str:
+    words = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    rules = [
+        # kind, pattern, group, least length
+        ("assign", assign, 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]+", 0, 16),
+        ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+        ("github", "gh[opsur]_[A-Za-z0-9]{36,}", 0, 0),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+        ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+        ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ]
+    found = " union all ".join(
+        f"""select nr, '{kind}' as kind, {i} as number, {least} as least,
+                   list_transform(string_split_regex(body, '{pattern}'), lambda x: length(x)) as gaps,
+                   list_transform(regexp_extract_all(body, '{pattern}', 0), lambda x: length(x)) as lengths,
+                   list_transform(regexp_extract_all(body, '{pattern}', {group}), lambda x: length(x)) as sizes
+            from texts where regexp_matches(body, '{pattern}')"""
+        for i, (kind, pattern, group, least) in enumerate(rules)
+    )
+    return f"""
+        with texts as (select row_number() over () as nr, doc_id, coalesce(text, '') as body from documents),
+        found as ({found}),
+        each as (select *, unnest(range(1, len(lengths) + 1)) as i from found),
+        spans as (
+            select nr, kind, number,
+                   (list_sum(gaps[:i]) + coalesce(list_sum(lengths[:i - 1]), 0))::bigint as first,
+                   first + lengths[i] as last
+            from each where sizes[i] >= least),
+        listed as (
+            select nr, string_agg(kind || ':' || first || ':' || last, ',' order by first, number) as spans,
+                   string_agg(kind || ':' || first || ':' || last, ',' order by first, number) filter (number < 3) as base,
+                   count(*) filter (number = 0) as n_assign, count(*) filter (number = 1) as n_access,
+                   count(*) filter (number = 2) as n_hex
+            from spans group by nr)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from texts left join listed using (nr)"""
+
+
+SQL: dict[str, str] = {
+    "op11_merkle_proofs": _merkle(),
+    "op13_secret_spans": _secrets(),
+}
