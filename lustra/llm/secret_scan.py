@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.operators.lookup import BROADCAST_BYTES, GROUP_ROWS, build_lookup, row_bytes
+from lustra.operators.lookup import GROUP_ROWS, build_lookup, row_bytes
 from lustra.session import materialize, new_scratch_path
 
+#: Bytes of pending pairs that are broadcast, so that in a run with little news only texts with news move.
+FEW_BYTES = 8 << 20
 FINDINGS = "blob string, rule string, kind string, start int, end int"
 SCANNED = "blob string, rule string"
 
@@ -140,7 +142,7 @@ def _texts(docs: DataFrame, text_col: str, pending: DataFrame) -> DataFrame:
     texts = docs.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     listed = pending.select("blob", F.array_join("todo", ",").alias("todo"))
     size = listed.agg(F.sum(row_bytes(listed)).alias("n")).first()["n"] or 0
-    if size <= BROADCAST_BYTES:
+    if size <= FEW_BYTES:
         # Texts without anything new are left where they are.
         texts = texts.join(F.broadcast(listed), "blob")
         return texts.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))

@@ -101,7 +101,7 @@ def test_an_interrupted_run_is_repeated(spark, secrets):
 
 def test_large_ledgers_meet_texts_by_shuffle(spark, secrets, monkeypatch):
     whole = of(scan_versions(secrets, Ledger.create(spark)))
-    monkeypatch.setattr(secret_scan, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(secret_scan, "FEW_BYTES", 0)
     assert of(scan_versions(secrets, Ledger.create(spark))) == whole
 
 
