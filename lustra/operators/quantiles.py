@@ -1,91 +1,58 @@
 """Exact quantiles with linear interpolation, for whole columns and per group.
 
-Spark's ``percentile`` is exact but keeps one counter per distinct value in a single task.
-It is used where the distinct values are few. Beyond that the wanted ranks are bracketed: a
-sketch gives a grid of approximate quantiles, an exact count checks how many rows lie below
-and inside each bracket, and brackets that still hold many distinct values are sketched
-again. In the end only the few values inside are counted one by one. All passes are
-aggregates with map-side combine, so neither a heavy value nor a heavy group ends up in one
-task, and a bad sketch costs passes but never a wrong answer.
+Columns are stacked into rows of key and value, so a column is a group like any other, only one that
+holds all rows. A wanted rank of a key is first enclosed by a *bracket* of two values, then read off
+a table of the distinct values inside with their counts:
+
+* **Sketch.** KLL sketches are built by key and shard of the input and merged in two levels, so a key that holds
+  a third of the rows, or all of them, is never merged from all tasks at once. Their quantiles on a fine grid tell
+  a bracket that holds the rank, and how many distinct values to expect: neighbours on the grid that are equal have one value
+  between them. A key of few values keeps its whole range; a bracket that may hold too many is sketched again from the inside.
+* **Read.** Values inside a bracket are counted with map-side combine, one row for each value; all
+  that lies below is one more row. The running count then gives the values at both neighbours of the
+  position. Exact counts show whether the bracket held the ranks. One that missed is tried again with a wider
+  margin, and after that as the whole range, so a bad sketch costs passes but never a wrong answer.
+
+The same interpolation is used everywhere, so a result does not depend on the size of the table.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lustra.functions.text import quoted
+from lustra.operators.lookup import BROADCAST_BYTES, row_bytes
 from lustra.session import materialize
 
-# Distinct values of a column, or of a bracket, that one task counts in memory.
-IN_MEMORY_VALUES = 20_000
-# Rows of a group up to which the built-in aggregate is used, and up to which one task sorts.
-IN_MEMORY_ROWS = 20_000
+# Distinct values of a bracket that one task puts in order.
+VALUES_PER_TASK = 200_000
+# Rows of a group up to which all its values are put in order by one task. Groups beyond that are bracketed, as
+# many as MOST_GROUPS at most; in tables where there could be more, the limit rises.
 SORTABLE_ROWS = 5_000_000
-SKETCH_ACCURACY = 10_000
-GRID_STEPS = 1_000
-# Grid steps added on both sides of a bracket; the sketch is off by a tenth of a step.
-GRID_MARGIN = 2
-MAX_PASSES = 20
-
-
-def _grid(steps: int) -> str:
-    """The grid as text, since a column object per grid point would take long to build."""
-    return "array({})".format(", ".join(f"{i / steps!r}D" for i in range(steps + 1)))
-
-
-def _sketch(value: str, steps: int = GRID_STEPS) -> Column:
-    return F.expr(f"percentile_approx({value}, {_grid(steps)}, {SKETCH_ACCURACY})")
-
-
-@dataclass(frozen=True)
-class _Bracket:
-    """Limits around one wanted position of one column, and what was counted about them."""
-
-    column: str
-    position: float
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0
-    inside: int = 0
-    misses: int = 0
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.position), math.ceil(self.position)
-
-    @property
-    def holds(self) -> bool:
-        """Whether the counts prove that both ranks lie inside."""
-        first, last = self.ranks
-        return self.below <= first and last < self.below + self.inside
-
-    def condition(self) -> str:
-        """SQL for the column's value if it lies inside."""
-        limits = f"{_double(self.low)} and {_double(self.high)}"
-        return f"case when {self.column} between {limits} then {self.column} end"
-
-    def shrunk(self, grid: Sequence[float], steps: int) -> _Bracket:
-        """The bracket around the ranks on a grid over its inside."""
-        first, last = (rank - self.below for rank in self.ranks)
-        margin = GRID_MARGIN * (1 + self.misses)
-        start = max(math.floor(first / self.inside * steps) - margin, 0)
-        stop = min(math.ceil((last + 1) / self.inside * steps) + margin, steps)
-        return replace(self, low=grid[start], high=grid[stop])
-
-    def opened(self) -> _Bracket:
-        """After a miss: without limit on the side the ranks are on, and a wider margin."""
-        low = -math.inf if self.below > self.ranks[0] else self.low
-        high = math.inf if self.below + self.inside <= self.ranks[1] else self.high
-        return replace(self, low=low, high=high, misses=self.misses + 1)
-
-
-def _double(value: float) -> str:
-    return f"double('{value!r}')"
+MOST_GROUPS = 100_000
+# Size of the sketches. A rank of a KLL sketch of this size is off by less than ERROR of all rows, but for one in a hundred.
+SKETCH_SIZE = 2048
+ERROR = 0.0017
+# Steps of the grid on which a sketch is asked for its quantiles.
+GRID_STEPS = 2_000
+# A bracket reaches so many errors to both sides, and after a miss MORE_MARGIN times as far.
+MARGIN = 2.5
+MORE_MARGIN = 8
+MOST_MISSES = 1
+# Shards of the first level of merging.
+SHARDS = 64
+INFINITY = float("inf")
+# ``expected`` distinct values, ``rows`` of the whole key, and the quantiles that are wanted from inside.
+BRACKETS = (
+    "key int, low double, high double, misses int, expected double, rows bigint, "
+    "wanted array<struct<part:int,share:double>>"
+)
+
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def column_quantiles(
@@ -93,115 +60,35 @@ def column_quantiles(
     columns: Mapping[str, Column],
     probabilities: Sequence[float],
     distinct_estimates: Mapping[str, int] | None = None,
-    in_memory_values: int = IN_MEMORY_VALUES,
-    grid_steps: int = GRID_STEPS,
+    values_per_task: int = VALUES_PER_TASK,
+    sketch_size: int = SKETCH_SIZE,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several numeric expressions; None for a column without values.
 
-    All columns share each pass: one sketches them, one checks the brackets around the
-    wanted ranks, one reads the results. ``distinct_estimates`` spare columns with few values
-    the sketch; these need the last pass only.
+    All columns share each pass over the table. ``distinct_estimates`` spare the sketch when all columns have few values.
     """
     if not columns:
         return {}
-    names = {name: f"v{i}" for i, name in enumerate(columns)}
-    values = df.select(*[c.cast("double").alias(names[n]) for n, c in columns.items()])
-    sketched = [
-        v
-        for n, v in names.items()
-        if distinct_estimates is None or distinct_estimates[n] > in_memory_values
-    ]
-    sketches = _sketches(values, sketched, grid_steps)
-    many = [v for v in sketched if sketches[v].distinct > in_memory_values]
-    few = [v for v in names.values() if v not in set(many)]
-    first_brackets = [
-        _Bracket(v, p * (sketches[v].rows - 1), inside=sketches[v].rows).shrunk(
-            sketches[v].grid, grid_steps
-        )
-        for v in many
-        for p in probabilities
-    ]
-    brackets = _settled(values, first_brackets, in_memory_values, grid_steps)
-
-    reads = [F.percentile(v, list(probabilities)).alias(v) for v in few]
-    for i, bracket in enumerate(brackets):
-        for rank in set(bracket.ranks):
-            # Half a rank off, so that rounding cannot reach the neighbour.
-            share = (rank - bracket.below + 0.5) / bracket.inside
-            value = bracket.condition()
-            pick = f"percentile_disc({share!r}D) within group (order by {value})"
-            reads.append(F.expr(pick).alias(f"b{i}_{rank}"))
-    found = values.agg(*reads).first()
-
-    exact: dict[str, list[float | None]] = {v: [] for v in many}
-    for i, bracket in enumerate(brackets):
-        first, last = bracket.ranks
-        lower, upper = found[f"b{i}_{first}"], found[f"b{i}_{last}"]
-        fraction = bracket.position - first
-        exact[bracket.column].append(lower + (upper - lower) * fraction if fraction else lower)
-    for v in few:
-        exact[v] = list(found[v]) if found[v] else [None] * len(probabilities)
-    return {n: exact[v] for n, v in names.items()}
-
-
-@dataclass(frozen=True)
-class _Sketch:
-    rows: int
-    distinct: int
-    grid: Sequence[float]
-
-
-def _sketches(values: DataFrame, columns: Sequence[str], steps: int) -> dict[str, _Sketch]:
-    if not columns:
-        return {}
-    aggregates = []
-    for c in columns:
-        aggregates += [
-            F.count(c).alias(f"rows_{c}"),
-            F.approx_count_distinct(c).alias(f"distinct_{c}"),
-            _sketch(c, steps).alias(f"grid_{c}"),
-        ]
-    seen = values.agg(*aggregates).first()
-    return {c: _Sketch(seen[f"rows_{c}"], seen[f"distinct_{c}"], seen[f"grid_{c}"]) for c in columns}
-
-
-def _settled(
-    values: DataFrame, brackets: list[_Bracket], in_memory_values: int, steps: int
-) -> list[_Bracket]:
-    """The brackets narrowed until they provably hold their ranks and few distinct values."""
-    order = [(b.column, b.position) for b in brackets]
-    settled: list[_Bracket] = []
-    if not brackets:
-        return settled
-    for _ in range(MAX_PASSES):
-        checks = []
-        for i, b in enumerate(brackets):
-            inside = b.condition()
-            checks += [
-                F.expr(f"count_if({b.column} < {_double(b.low)})").alias(f"below{i}"),
-                F.expr(f"count({inside})").alias(f"inside{i}"),
-                F.expr(f"approx_count_distinct({inside})").alias(f"distinct{i}"),
-            ]
-            # The last grid left about this many rows, so it may take another one.
-            if b.inside * (2 * GRID_MARGIN + 3) * (1 + b.misses) > steps * in_memory_values:
-                checks.append(_sketch(inside, steps).alias(f"grid{i}"))
-        seen = values.agg(*checks).first().asDict()
-        pending = []
-        for i, b in enumerate(brackets):
-            b = replace(b, below=seen[f"below{i}"], inside=seen[f"inside{i}"])
-            if not b.holds:
-                pending.append(b.opened())
-            elif seen[f"distinct{i}"] <= in_memory_values:
-                settled.append(b)
-            elif f"grid{i}" in seen:
-                pending.append(b.shrunk(seen[f"grid{i}"], steps))
-            else:
-                # Larger than expected: sketch it with the next pass.
-                pending.append(replace(b, inside=steps * in_memory_values))
-        brackets = pending
-        if not brackets:
-            return sorted(settled, key=lambda b: order.index((b.column, b.position)))
-    raise RuntimeError(f"quantile brackets did not settle in {MAX_PASSES} passes")
+    names = [f"v{i}" for i in range(len(columns))]
+    values = df.select(*[c.cast("double").alias(n) for n, c in zip(names, columns.values(), strict=True)])
+    entries = ", ".join(f"struct({i} as key, {n} as value)" for i, n in enumerate(names))
+    rows = values.selectExpr(f"inline(array({entries}))")
+    spark = df.sparkSession
+
+    def keep(table: DataFrame, label: str) -> DataFrame:
+        """A row or two for each column: a local table, on which Spark starts no jobs."""
+        return spark.createDataFrame(table.collect(), table.schema)
+
+    first = None
+    if distinct_estimates is not None and all(distinct_estimates[c] <= values_per_task for c in columns):
+        wanted = [(i, float(p)) for i, p in enumerate(probabilities)]
+        first = spark.createDataFrame([(i, -INFINITY, INFINITY, 0, 0.0, None, wanted) for i in range(len(columns))], BRACKETS)
+    found = _selected(rows.filter("value is not null"), probabilities, values_per_task, sketch_size, keep, first)
+    by_key: dict[int, dict[int, float]] = {}
+    for row in found.collect():
+        by_key.setdefault(row["key"], {})[row["part"]] = row["quantile"]
+    parts = range(len(probabilities))
+    return {c: [by_key.get(i, {}).get(p) for p in parts] for i, c in enumerate(columns)}
 
 
 def group_quantiles(
@@ -209,207 +96,230 @@ def group_quantiles(
     group: str,
     value: Column,
     probabilities: Sequence[float],
-    in_memory_rows: int = IN_MEMORY_ROWS,
     sortable_rows: int = SORTABLE_ROWS,
 ) -> DataFrame:
     """One row per non-null group that has values: ``key`` and the array ``quantiles``.
 
-    The size of the largest group decides: the built-in aggregate while its counters are
-    few, a running count per value, which spills, while one task can sort a group, and
-    brackets for the groups beyond that, of which there are at most rows / sortable_rows.
+    Groups up to ``sortable_rows`` are read off their running counts, which spill. The few that are larger are
+    bracketed; only if there are any, the rows are told apart by a join with the list of these.
     """
     rows = df.select(quoted(group).alias("key"), value.cast("double").alias("value"))
     rows = rows.filter("key is not null and value is not null")
-    sizes = rows.groupBy("key").agg(F.count("value").alias("size"))
-    largest = sizes.agg(F.max("size")).first()[0] or 0
-    if largest <= in_memory_rows:
-        built_in = F.percentile("value", list(probabilities)).alias("quantiles")
-        return rows.groupBy("key").agg(built_in)
-    if largest <= sortable_rows:
-        return _sorted_quantiles(rows, probabilities)
-    big = materialize(sizes.filter(F.col("size") > sortable_rows).select("key"), "big-groups")
-    return _sorted_quantiles(
-        rows.join(F.broadcast(big), "key", "left_anti"), probabilities
-    ).unionByName(
-        select_quantiles(rows.join(F.broadcast(big), "key", "left_semi"), probabilities)
-    )
-
-
-def _sorted_quantiles(rows: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Quantiles of groups that fit one task, from the running count of their values."""
-    running = Window.partitionBy("key").orderBy("value")
-    whole = Window.partitionBy("key")
-    counted = (
-        rows.groupBy("key", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("reached", F.sum("copies").over(running))
-        .withColumn("last_rank", F.sum("copies").over(whole) - 1)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    seen = sizes.agg(F.max("size").alias("largest"), F.sum("size").alias("rows")).first()
+    limit = max(sortable_rows, (seen["rows"] or 0) // MOST_GROUPS)
+    if (seen["largest"] or 0) <= limit:
+        return _as_arrays(_read_all(rows, probabilities))
+    big = _side(materialize(sizes.filter(F.col("size") > limit).select("key"), "big-groups"))
+    return _as_arrays(_read_all(rows.join(big, "key", "left_anti"), probabilities)).unionByName(
+        select_quantiles(rows.join(big, "key", "left_semi"), probabilities)
     )
-    picks = []
-    for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * F.col("last_rank")
-        picks += [
-            F.min(F.when(F.col("reached") > F.floor(position), F.col("value"))).alias(f"lo{i}"),
-            F.min(F.when(F.col("reached") > F.ceil(position), F.col("value"))).alias(f"hi{i}"),
-            F.max(position - F.floor(position)).alias(f"part{i}"),
-        ]
-    between = [
-        F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")
-        for i in range(len(probabilities))
-    ]
-    return counted.groupBy("key").agg(*picks).select("key", F.array(*between).alias("quantiles"))
 
 
 def select_quantiles(
     rows: DataFrame,
     probabilities: Sequence[float],
-    in_memory_values: int = IN_MEMORY_VALUES,
-    grid_steps: int = GRID_STEPS,
+    values_per_task: int = VALUES_PER_TASK,
+    sketch_size: int = SKETCH_SIZE,
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per ``key`` by bracketing, the brackets kept as a table."""
-    present = rows.filter("value is not null")
-    brackets = None
-    for _ in range(MAX_PASSES):
-        measured = _measure(present, probabilities, brackets, grid_steps)
-        brackets = materialize(_shrink(measured, grid_steps), "quantile-brackets")
-        widest = brackets.agg(F.max("most_values")).first()[0]
-        if widest is not None and widest > in_memory_values:
-            continue
-        parts = materialize(_read_ranks(present, brackets), "quantile-parts")
-        # A bracket that missed its ranks is reopened by the next pass.
-        if parts.filter("not confirmed").isEmpty():
-            ordered = F.array_sort(F.collect_list(F.struct("part", "quantile")))
-            return parts.groupBy("key").agg(
-                F.transform(ordered, lambda entry: entry["quantile"]).alias("quantiles")
-            )
-    raise RuntimeError(f"quantile brackets did not settle in {MAX_PASSES} passes")
-
-
-def _measure(
-    present: DataFrame, probabilities: Sequence[float], brackets: DataFrame | None, steps: int
+    """Quantiles of ``value`` per ``key`` by bracketing, the brackets kept as a table."""
+    present = rows.filter("key is not null and value is not null")
+    return _as_arrays(_selected(present, probabilities, values_per_task, sketch_size, materialize))
+
+
+def _as_arrays(parts: DataFrame) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("part", "quantile")))
+    return parts.groupBy("key").agg(F.transform(ordered, lambda entry: entry["quantile"]).alias("quantiles"))
+
+
+def _side(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if it is measured to be small."""
+    size = table.agg(F.sum(row_bytes(table)).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def _selected(
+    present: DataFrame,
+    probabilities: Sequence[float],
+    values_per_task: int,
+    sketch_size: int,
+    keep: Keep,
+    brackets: DataFrame | None = None,
 ) -> DataFrame:
-    """Per key and probability: rows below and inside the bracket, and a grid over the inside."""
+    """``key, part, quantile``. ``keep`` fixes the small tables between the passes."""
+    found: list[DataFrame] = []
+    side = _side if keep is materialize else F.broadcast
+    ready: list[DataFrame] = []
     if brackets is None:
-        whole = present.groupBy("key").agg(
-            F.count("value").alias("inside"),
-            F.approx_count_distinct("value").alias("values_inside"),
-            _sketch("value", steps).alias("grid"),
-        )
-        positions = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("part"),
-                    (F.lit(float(p)) * (F.col("inside") - 1)).alias("position"),
-                )
-                for i, p in enumerate(probabilities)
-            ]
-        )
-        return (
-            whole.withColumn("wanted", F.explode(positions))
-            .select(
-                "key",
-                "wanted.part",
-                "wanted.position",
-                F.lit(0).cast("bigint").alias("below"),
-                "inside",
-                "values_inside",
-                "grid",
-                F.lit(float("-inf")).alias("old_low"),
-                F.lit(float("inf")).alias("old_high"),
-                F.lit(0).alias("misses"),
-            )
-        )
-    inside = F.col("value").between(F.col("low"), F.col("high"))
-    wanted = brackets.drop("most_values")
-    return (
-        present.join(F.broadcast(wanted), "key")
-        .groupBy(*wanted.columns)
+        brackets = keep(_narrowed(_sketched(present, probabilities, sketch_size), values_per_task, sketch_size), "quantile-brackets")
+    while True:
+        # A bracket that missed so often is the whole range and is read whatever it holds.
+        is_ready = (F.col("expected") <= values_per_task) | (F.col("misses") > MOST_MISSES)
+        ready.append(brackets.filter(is_ready))
+        wide = brackets.filter(~is_ready)
+        if not wide.isEmpty():
+            resketched = _sketched_inside(present, side(wide), sketch_size)
+            brackets = keep(_narrowed(resketched, values_per_task, sketch_size), "quantile-brackets")
+            continue
+        parts = keep(_read(present, side(reduce(DataFrame.unionByName, ready))), "quantile-parts")
+        found.append(parts.filter("confirmed").select("key", "part", "quantile"))
+        missed = parts.filter("not confirmed")
+        if missed.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        ready, brackets = [], keep(_reopened(missed), "quantile-brackets")
+
+
+def _merged(rows: DataFrame, keys: Sequence[str], sketch_size: int) -> DataFrame:
+    """Count and sketch of ``inside`` and the count of ``is_below`` by ``keys``: by shard first, then of all shards."""
+    shard = F.pmod(F.spark_partition_id(), F.lit(SHARDS))
+    by_shard = (
+        rows.withColumn("shard", shard)
+        .groupBy(*keys, "shard")
         .agg(
-            F.count_if(F.col("value") < F.col("low")).alias("below"),
-            F.count_if(inside).alias("inside"),
-            F.approx_count_distinct(F.when(inside, F.col("value"))).alias("values_inside"),
-            _sketch("case when value between low and high then value end", steps).alias("grid"),
+            F.count_if("is_below").alias("below"),
+            F.count("inside").alias("inside"),
+            F.kll_sketch_agg_double("inside", sketch_size).alias("sketch"),
         )
-        .withColumnsRenamed({"low": "old_low", "high": "old_high"})
     )
+    merged = by_shard.groupBy(*keys).agg(
+        F.sum("below").alias("below"), F.sum("inside").alias("inside"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+    # A sketch takes constant ranks only. As text, to keep the plan small.
+    ranks = F.split(F.lit(",".join(repr(i / GRID_STEPS) for i in range(GRID_STEPS + 1))), ",").cast("array<double>")
+    return merged.withColumn("grid", F.when(F.col("inside") > 0, F.kll_sketch_get_quantile_double("sketch", ranks))).drop("sketch")
 
 
-def _shrink(measured: DataFrame, steps: int) -> DataFrame:
-    """The next bracket, checked against the exact counts.
-
-    If the wanted ranks turn out to lie outside, the bracket is opened on that side and its
-    next margin is wider, so an unlucky sketch costs passes and never a wrong answer.
-    """
-    first = F.floor("position")
-    last = F.ceil("position")
-    in_bracket = (F.col("below") <= first) & (last < F.col("below") + F.col("inside"))
-    margin = F.lit(GRID_MARGIN) * (1 + F.col("misses"))
-    # A bracket that missed can be empty; its steps are not used then.
-    inside = F.nullif(F.col("inside"), F.lit(0))
-    at_first = F.floor((first - F.col("below")) / inside * steps) - margin
-    at_last = F.ceil((last + 1 - F.col("below")) / inside * steps) + margin
-    low_step = F.greatest(at_first, F.lit(0)).cast("int")
-    high_step = F.least(at_last, F.lit(steps)).cast("int")
-    infinity = F.lit(float("inf"))
-    moved = measured.select(
+def _sketched(present: DataFrame, probabilities: Sequence[float], sketch_size: int) -> DataFrame:
+    """The whole range of each key, as a bracket that was measured."""
+    rows = present.select("key", F.lit(False).alias("is_below"), F.col("value").alias("inside"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(float(p)).alias("share")) for i, p in enumerate(probabilities)])
+    return _merged(rows, ["key"], sketch_size).select(
         "*",
-        in_bracket.alias("in_bracket"),
-        (F.col("misses") + F.when(in_bracket, 0).otherwise(1)).alias("next_misses"),
-        ((high_step - low_step + 2) / F.lit(steps)).alias("share"),
-        F.when(in_bracket, F.get("grid", low_step))
-        .when(F.col("below") > first, -infinity)
-        .otherwise(F.col("old_low"))
-        .alias("low"),
-        F.when(in_bracket, F.get("grid", high_step))
-        .when(F.col("below") + F.col("inside") <= last, infinity)
-        .otherwise(F.col("old_high"))
-        .alias("high"),
+        F.lit(-INFINITY).alias("low"),
+        F.lit(INFINITY).alias("high"),
+        F.lit(0).alias("misses"),
+        F.col("inside").alias("rows"),
+        wanted.alias("wanted"),
+    )
+
+
+def _sketched_inside(present: DataFrame, brackets: DataFrame, sketch_size: int) -> DataFrame:
+    """The brackets, measured again from the values inside."""
+    keys = ["key", "low", "high", "misses"]
+    inside = F.col("value") >= F.col("low")
+    rows = (
+        present.join(brackets.select(*keys), "key")
+        .filter(F.col("value") <= F.col("high"))
+        .select(*keys, (~inside).alias("is_below"), F.when(inside, F.col("value")).alias("inside"))
     )
-    # Distinct values the new bracket can hold: a grid step carries its share of the rows.
-    most_values = (
-        F.when(F.col("low") == F.col("high"), F.lit(1.0))
-        .when(
-            F.col("in_bracket"),
-            F.least(F.col("values_inside").cast("double"), F.col("inside") * F.col("share")),
+    return _merged(rows, keys, sketch_size).join(brackets.drop("expected"), keys)
+
+
+def _narrowed(measured: DataFrame, values_per_task: int, sketch_size: int) -> DataFrame:
+    """The next brackets of the measured ones.
+
+    A bracket that turns out not to hold its ranks becomes the whole range, with one more miss. One that cannot
+    be made smaller holds heavy values and is read as it is. Written as SQL text, which is planned faster than columns.
+    """
+    error = f"{ERROR * MARGIN * SKETCH_SIZE / sketch_size!r}D * pow({MORE_MARGIN}, misses)"
+    # Distinct values to expect between two points of the grid. A bracket that missed can be empty.
+    values = f"1 + (size(array_distinct(slice(grid, {{0}} + 1, {{1}} - {{0}} + 1))) - 1) * inside / {GRID_STEPS}"
+    at = "(w.share * (rows - 1) - below + 0.5) / nullif(inside, 0)"
+    placed = f"""transform(wanted, w -> named_struct(
+        'want', w,
+        'holds', below <= floor(w.share * (rows - 1)) and ceil(w.share * (rows - 1)) < below + inside,
+        'first', int(least(greatest(floor(({at} - error - 1 / nullif(inside, 0)) * {GRID_STEPS}), 0), {GRID_STEPS})),
+        'last', int(least(greatest(ceil(({at} + error + 1 / nullif(inside, 0)) * {GRID_STEPS}), 0), {GRID_STEPS}))))"""
+    bounded = f"""transform(placed, p -> named_struct(
+        'place', p,
+        'low', case when p.first > 0 then grid[p.first] else low end,
+        'high', case when p.last < {GRID_STEPS} then grid[p.last] else high end))"""
+
+    def bracket(low: str, high: str, misses: str, expected: str, wanted: str) -> str:
+        return (
+            f"named_struct('low', {low}, 'high', {high}, 'misses', {misses}, "
+            f"'expected', double({expected}), 'rows', rows, 'wanted', {wanted})"
+        )
+
+    stuck = f"case when b.low = low and b.high = high then 1 else {values.format('b.place.first', 'b.place.last')} end"
+    inner = bracket("b.low", "b.high", "misses", stuck, "array(b.place.want)")
+    missed = bracket("double('-inf')", "double('inf')", "misses + 1", "double('inf')", "array(b.place.want)")
+    single = f"transform(bounded, b -> case when b.place.holds then {inner} else {missed} end)"
+    unchanged = f"array({bracket('low', 'high', 'misses', 'values', 'wanted')})"
+    return (
+        measured.selectExpr("*", f"{error} as error", f"{values.format(0, GRID_STEPS)} as values")
+        .selectExpr("*", f"{placed} as placed")
+        .selectExpr("*", f"{bounded} as bounded")
+        .selectExpr(
+            "key",
+            f"inline(case when values <= {values_per_task} and forall(placed, p -> p.holds) then {unchanged} else {single} end)",
         )
-        .otherwise(infinity)
     )
-    return moved.select(
-        "key",
-        "part",
-        "position",
-        "low",
-        "high",
-        F.col("next_misses").alias("misses"),
-        most_values.alias("most_values"),
+
+
+def _reopened(missed: DataFrame) -> DataFrame:
+    """Brackets of parts that were not inside, as whole ranges with one more miss."""
+    return missed.groupBy("key", "rows", (F.col("misses") + 1).alias("misses")).agg(
+        F.lit(-INFINITY).alias("low"),
+        F.lit(INFINITY).alias("high"),
+        F.lit(INFINITY).alias("expected"),
+        F.collect_list(F.struct("part", "share")).alias("wanted"),
     )
 
 
-def _read_ranks(present: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Count the few values inside each bracket and interpolate between the wanted ranks."""
-    wanted = F.broadcast(brackets.select("key", "part", "position", "low", "high"))
-    # Everything below the bracket collapses into one null entry that sorts first.
-    entry = F.when(F.col("value") >= F.col("low"), F.col("value"))
+def _read(present: DataFrame, brackets: DataFrame) -> DataFrame:
+    """``key, part, share, misses, rows, quantile, confirmed`` from the values inside the brackets and their counts."""
+    keys = ["key", "low", "high"]
     counted = (
-        present.join(wanted, "key")
-        .filter(F.col("value") <= F.col("high"))
-        .groupBy("key", "part", "position", entry.alias("value"))
+        present.join(brackets.select(*keys), "key")
+        .filter("value <= high")
+        # Everything below the bracket collapses into one null entry that sorts first.
+        .selectExpr(*keys, "case when value >= low then value end as value")
+        .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    running = Window.partitionBy("key", "part").orderBy(F.col("value").asc_nulls_first())
-    reached = counted.withColumn("reached", F.sum("copies").over(running))
-    first, last = F.floor("position"), F.ceil("position")
-    is_below = F.col("value").isNull()
-    picked = reached.groupBy("key", "part", "position").agg(
-        F.min(F.when(F.col("reached") > first, F.col("value"))).alias("lower"),
-        F.min(F.when(F.col("reached") > last, F.col("value"))).alias("upper"),
-        F.coalesce(F.max(F.when(is_below, F.col("copies"))), F.lit(0)).alias("below"),
+    reached = counted.selectExpr(
+        *keys,
+        "value",
+        "sum(copies) over (partition by key, low, high order by value nulls first) as reached",
+        "sum(copies) over (partition by key, low, high) as counted",
+    )
+    wanted = brackets.selectExpr(*keys, "misses", "rows", "inline(wanted)")
+    # Without a sketch, the bracket is the whole range and the count is that of all rows.
+    joined = reached.join(wanted, keys).selectExpr(
+        "key", "part", "share", "misses", "coalesce(rows, counted) as rows", "reached", "value"
     )
-    return picked.select(
+    return _picked(joined, ["key", "part", "share", "misses", "rows"])
+
+
+def _read_all(rows: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """``key, part, quantile`` from the running count of all values of a key."""
+    wanted = ", ".join(f"struct({i} as part, {float(p)!r}D as share)" for i, p in enumerate(probabilities))
+    counted = rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("copies"))
+    reached = counted.selectExpr(
         "key",
-        "part",
-        (
-            F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("position") - first)
-        ).alias("quantile"),
-        ((F.col("below") <= first) & F.col("upper").isNotNull()).alias("confirmed"),
+        "value",
+        "sum(copies) over (partition by key order by value) as reached",
+        "sum(copies) over (partition by key) as rows",
+    )
+    return _picked(reached.selectExpr("*", f"inline(array({wanted}))"), ["key", "part", "share", "rows"])
+
+
+def _picked(reached: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The value between the two ranks around the position, and whether counted values were there.
+
+    The position is that of linear interpolation over all rows: ``share`` of the way from the first to the last.
+    The entry that reaches a rank has no value if the rank is below the bracket, and there is none if it is above.
+    """
+    position = "share * (rows - 1)"
+    picked = reached.groupBy(*keys).agg(
+        F.expr(f"min(struct(reached, value)) filter (where reached > floor({position}))").alias("lower"),
+        F.expr(f"min(struct(reached, value)) filter (where reached > ceil({position}))").alias("upper"),
+    )
+    ends = picked.selectExpr(*keys, "lower.value as first", "upper.value as last", f"{position} - floor({position}) as between")
+    # Infinite neighbours that are the same have no distance.
+    return ends.selectExpr(
+        *keys,
+        "case when between = 0 or first = last then first else first + (last - first) * between end as quantile",
+        "first is not null and last is not null as confirmed",
     )

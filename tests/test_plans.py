@@ -6,7 +6,9 @@ from lustra.operators import (
     check_not_null,
     column_info,
     fit_ordered_fill,
+    group_quantiles,
     preview,
+    quantiles,
     remove_duplicates,
 )
 from lustra.plans.catalog import QUERIES, dirty_orders, table
@@ -52,3 +54,26 @@ def test_scans_read_only_what_is_needed(spark):
 
 def test_preview_is_a_top_k(spark):
     assert "TakeOrderedAndProject" in plan(preview(table(spark, SMALL, "orders"), "o_orderkey"))
+
+
+def test_sketches_are_merged_by_shard_first(spark):
+    rows = table(spark, SMALL, "lineitem").selectExpr("l_linenumber as key", "l_tax as value")
+    sketched = plan(quantiles._sketched(rows, [0.5], 200))
+    assert "percentile" not in sketched and "SinglePartition" not in sketched
+    # The exchange of the tasks' sketches is by key and shard, that of the merged ones by key.
+    exchanges = [line for line in sketched.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and "shard" in exchanges[1] and "shard" not in exchanges[0]
+
+
+def test_quantiles_ship_a_row_for_each_value(spark):
+    rows = table(spark, SMALL, "lineitem").selectExpr("l_linenumber as key", "l_tax as value")
+    brackets = quantiles._narrowed(quantiles._sketched(rows, [0.5], 200), 100, 200)
+    for text in (plan(quantiles._read(rows, F.broadcast(brackets))), plan(quantiles._read_all(rows, [0.5]))):
+        assert "percentile" not in text and "SinglePartition" not in text
+        # Values are counted before the shuffle that deals them out by key.
+        assert "partial_count(1)" in text
+
+
+def test_hot_groups_are_told_apart_by_a_measured_list(spark):
+    text = plan(group_quantiles(table(spark, SMALL, "lineitem"), "l_linenumber", F.col("l_tax"), [0.5], 500))
+    assert "percentile" not in text and "LeftAnti" in text
