@@ -20,14 +20,10 @@ from lustra.operators.cleaning import (
     standardize_text,
     trim_columns,
 )
+from lustra.operators.dates import datetime_features, fit_dates
 from lustra.operators.dedup import duplicate_key, remove_duplicates
 from lustra.operators.encoding import encode_categorical, fit_labels, fit_onehot
-from lustra.operators.features import (
-    aggregate_features,
-    datetime_features,
-    fit_group_features,
-    select_features,
-)
+from lustra.operators.features import aggregate_features, fit_group_features, select_features
 from lustra.operators.missing import drop_missing, fit_fill, handle_missing_values
 from lustra.operators.ordered_fill import backward_fill, fit_ordered_fill, forward_fill
 from lustra.operators.outliers import fit_outliers, remove_outliers
@@ -63,6 +59,7 @@ __all__ = [
     "duplicate_key",
     "duplicate_rows",
     "encode_categorical",
+    "fit_dates",
     "fit_fill",
     "fit_group_features",
     "fit_invalid_zeros",

@@ -12,7 +12,7 @@ from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException, PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,15 +239,35 @@ def _refusal(df: DataFrame, condition: Column) -> str | None:
     return f"not a condition: {outcome.dataType.simpleString()}"
 
 
+def _failure_counts(df: DataFrame, conditions: Sequence[Column]) -> list[int | str]:
+    """Rows on which each condition is false, or how it broke.
+
+    All conditions share one aggregate. If that breaks on some value, it is split in halves until the conditions that break
+    stand alone, so one of them costs passes in the logarithm of their number, and the others keep their counts.
+    """
+    if not conditions:
+        return []
+    try:
+        return list(df.agg(*[F.count_if(~c).alias(f"custom{i}") for i, c in enumerate(conditions)]).first())
+    except PySparkException as error:
+        # Without a condition it is the cluster that failed, not a value.
+        if not error.getCondition() and not isinstance(error, PythonException):
+            raise
+        if len(conditions) == 1:
+            return [f"raised {type(error).__name__}: {error.getCondition() or 'PYTHON_EXCEPTION'}"]
+    half = len(conditions) // 2
+    return _failure_counts(df, conditions[:half]) + _failure_counts(df, conditions[half:])
+
+
 def check_custom(df: DataFrame, validations: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Own checks: ``{name, function, args}``.
 
     ``function`` is a callable that takes the table, or a boolean column that must not be
-    false. All column checks share one aggregate. A callable may return a truth value, or a
-    boolean column to be counted in the same way; an exception is a failure, and so is a column
-    that cannot be resolved or is not boolean.
+    false. All column checks share one aggregate, which runs at once. A callable may return a truth value, or a
+    boolean column to be counted in the same way. An exception is a failure, and so is a column
+    that cannot be resolved, is not boolean, or breaks on a value of the table; the other checks are not touched by it.
     """
-    aggregates, rows = [], []
+    outcomes: list[tuple[str, Any, str | None]] = []
     for rule in validations:
         name, function = rule.get("name", "unknown"), rule.get("function")
         outcome: Any = function
@@ -262,15 +282,20 @@ def check_custom(df: DataFrame, validations: Sequence[Mapping[str, Any]]) -> Dat
                     action = f"raised {type(error).__name__}: {error}"
         if action is None and isinstance(outcome, Column):
             action = _refusal(df, outcome)
+        outcomes.append((name, outcome, action))
+    counts = iter(_failure_counts(df, [o for _, o, action in outcomes if action is None and isinstance(o, Column)]))
+    rows = []
+    for name, outcome, action in outcomes:
         if action is None and isinstance(outcome, Column):
-            alias = f"custom{len(aggregates)}"
-            aggregates.append(F.count_if(~outcome).alias(alias))
-            rows.append(_count_row("custom", name, "true", F.col(alias)))
-            continue
+            counted = next(counts)
+            if not isinstance(counted, str):
+                rows.append(_count_row("custom", name, "true", F.lit(counted)))
+                continue
+            action = counted
         status = FAILED if action is not None or not outcome else PASSED
         found = None if action else str(bool(outcome)).lower()
         rows.append(_row("custom", name, "true", found, None, status, action or status))
-    return _report(df, aggregates, rows)
+    return _report(df, [], rows)
 
 
 def _section(spec: Mapping[str, Any], name: str) -> Mapping[str, Any] | None:

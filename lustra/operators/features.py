@@ -1,4 +1,4 @@
-"""Column selection, date parts and group aggregates as features."""
+"""Column selection and group aggregates as features."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lustra.functions.columns import data_types
 from lustra.functions.numbers import quiet_nan
-from lustra.functions.text import quoted, trim_text
+from lustra.functions.text import quoted
 from lustra.operators.cleaning import known_columns
 from lustra.operators.lookup import GROUP_ROWS, Lookup, build_lookup
 from lustra.operators.quantiles import group_quantiles
@@ -32,53 +32,6 @@ def select_features(df: DataFrame, columns: Sequence[str], action: str = "keep")
     raise ValueError(f"action must be one of {ACTIONS}, not {action!r}")
 
 
-def parse_datetime(df: DataFrame, column: str, fmt: str | None = None) -> Column:
-    """The column as a timestamp without zone; what does not parse is null."""
-    data_type = data_types(df)[column]
-    if not isinstance(data_type, T.StringType):
-        return quoted(column).cast("timestamp_ntz")
-    text = trim_text(column)
-    if fmt is None:
-        return text.try_cast("timestamp_ntz")
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
-
-
-def datetime_features(
-    df: DataFrame,
-    columns: Sequence[str],
-    fmt: str | None = None,
-    all_or_nothing: bool = False,
-) -> DataFrame:
-    """Parse each column and add its year, month, day and day of week (Monday is 0).
-
-    Cells that do not parse become null. With ``all_or_nothing`` a column with such a cell
-    is skipped as a whole, which takes one counting pass over all the columns.
-    """
-    types = data_types(df)
-    datelike = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    chosen = [c for c in known_columns(df, columns) if isinstance(types[c], datelike)]
-    parsed = {c: parse_datetime(df, c, fmt) for c in chosen}
-    if all_or_nothing and chosen:
-        bad = df.agg(
-            *[
-                F.count_if(quoted(c).isNotNull() & parsed[c].isNull()).alias(f"bad{i}")
-                for i, c in enumerate(chosen)
-            ]
-        ).first()
-        for i, c in enumerate(chosen):
-            if bad[f"bad{i}"]:
-                warnings.warn(f"column {c!r}: {bad[f'bad{i}']} cells do not parse", stacklevel=2)
-                del parsed[c]
-    parts = {"year": F.year, "month": F.month, "day": F.dayofmonth, "dayofweek": F.weekday}
-    with_dates = df.select(
-        *[parsed[c].alias(c) if c in parsed else quoted(c) for c in df.columns]
-    )
-    return with_dates.select(
-        "*",
-        *[part(quoted(c)).alias(f"{c}_{name}") for c in parsed for name, part in parts.items()],
-    )
-
-
 def _skew(c: Column) -> Column:
     """Bias-corrected skewness: null below three values, 0 for a constant group."""
     n = F.count(c)

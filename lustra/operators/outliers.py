@@ -50,6 +50,11 @@ class OutlierModel:
     bounds: tuple[Bounds, ...]
     cap: bool
 
+    @property
+    def drops(self) -> bool:
+        """Whether the transform drops rows."""
+        return not self.cap
+
     def report(self, df: DataFrame) -> DataFrame:
         """One row per column: values beyond its bounds in ``df``."""
         types = data_types(df)

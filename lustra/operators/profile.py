@@ -28,16 +28,37 @@ def missing_cells(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, counts, F.lit(0).cast("bigint"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: rows beyond the first of each distinct row, on raw values; null equals null.
+def cell_counts(df: DataFrame) -> DataFrame:
+    """One row: ``rows``, ``missing_cells``, and ``duplicate_rows`` beyond the first of each distinct row.
 
-    Map columns cannot be compared and are left out.
+    Rows are compared on raw values; null equals null. All three come from one pass, as the distinct rows with their counts
+    tell the others. Map columns cannot be compared: they are left out of the comparison and only counted.
     """
     types = data_types(df)
-    comparable = [c for n, c in _present(df).items() if not isinstance(types[n], T.MapType)]
-    keys = [c.alias(f"k{i}") for i, c in enumerate(comparable)]
-    extra = F.coalesce(F.sum(F.col("count") - 1), F.lit(0))
-    return df.groupBy(*keys).count().agg(extra.alias("duplicate_rows"))
+    present = _present(df)
+    comparable = [c for n, c in present.items() if not isinstance(types[n], T.MapType)]
+    others = [c for n, c in present.items() if isinstance(types[n], T.MapType)]
+    zero = F.lit(0).cast("bigint")
+    keys = [f"k{i}" for i in range(len(comparable))]
+    distinct = df.groupBy(*[c.alias(k) for c, k in zip(comparable, keys, strict=True)]).agg(
+        F.count(F.lit(1)).alias("copies"),
+        reduce(lambda a, b: a + b, [F.count_if(c.isNull()) for c in others], zero).alias("others"),
+    )
+    nulls = reduce(lambda a, b: a + b, [F.isnull(k).cast("bigint") for k in keys], zero)
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), zero)
+
+    return distinct.agg(
+        total(F.col("copies")).alias("rows"),
+        total(nulls * F.col("copies") + F.col("others")).alias("missing_cells"),
+        total(F.col("copies") - 1).alias("duplicate_rows"),
+    )
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: rows beyond the first of each distinct row."""
+    return cell_counts(df).select("duplicate_rows")
 
 
 def merge_single_rows(parts: Sequence[DataFrame]) -> DataFrame:
@@ -48,14 +69,14 @@ def merge_single_rows(parts: Sequence[DataFrame]) -> DataFrame:
 
 def quality_profile(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing cells, duplicate rows, numeric and text columns."""
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"),
+    return cell_counts(df).select(
+        "rows",
         F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        missing_cells(df).alias("missing_cells"),
+        "missing_cells",
         F.lit(len(numeric_columns(df))).cast("bigint").alias("numeric_columns"),
         F.lit(len(text_columns(df))).cast("bigint").alias("text_columns"),
+        "duplicate_rows",
     )
-    return merge_single_rows([counted, duplicate_rows(df)])
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from lustra.operators.lookup import BROADCAST_BYTES, row_bytes
 from lustra.session import materialize
 
 # Distinct values of a bracket that one task puts in order.
-VALUES_PER_TASK = 200_000
+VALUES_PER_TASK = 50_000
 # Rows of a group up to which all its values are put in order by one task. Groups beyond that are bracketed, as
 # many as MOST_GROUPS at most; in tables where there could be more, the limit rises.
 SORTABLE_ROWS = 5_000_000

@@ -69,6 +69,11 @@ class ZeroRepairs:
         """Whether the transform joins a group table too large to broadcast."""
         return any(r.group_means and not r.group_means.broadcastable for r in self.repairs)
 
+    @property
+    def drops(self) -> bool:
+        """Whether the transform drops rows."""
+        return any(r.action == "drop" for r in self.repairs)
+
     def transform(self, df: DataFrame) -> DataFrame:
         for repair in self.repairs:
             df = repair.transform(df)

@@ -26,6 +26,7 @@ from lustra.operators import (
     describe,
     drop_empty_rows,
     encode_categorical,
+    fit_dates,
     fit_numeric_cleaner,
     forward_fill,
     handle_invalid_zeros,
@@ -41,6 +42,7 @@ from lustra.operators import (
     trim_columns,
     validate,
 )
+from lustra.operators.checks import ValidationError
 from lustra.plans.run import QualityRun, RunResult
 from lustra.session import new_scratch_path
 from lustra.sources import ROW_ORDER, dataset_metadata, read_table, write_table
@@ -494,6 +496,34 @@ def date_parse(spark: SparkSession, folder: str) -> DataFrame:
     return datetime_features(orders, ["ordered_on"])
 
 
+def _spelt_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Order dates as people write them, some of them unreadable."""
+    day = F.col("o_orderdate")
+    lost = F.col("o_orderkey") % 29 == 0
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(lost, F.lit("not a date")).otherwise(F.date_format(day, "MM/dd/yyyy")).alias("us"),
+        F.when(lost, F.lit(" ")).otherwise(F.date_format(day, "MMMM d, yyyy")).alias("spelt"),
+        F.date_format(day, "dd.MM.yyyy HH:mm").alias("dotted"),
+    )
+
+
+@query
+def date_parse_us(spark: SparkSession, folder: str) -> DataFrame:
+    return datetime_features(_spelt_dates(spark, folder).select("o_orderkey", "us"), ["us"])
+
+
+@query
+def date_parse_month_name(spark: SparkSession, folder: str) -> DataFrame:
+    return datetime_features(_spelt_dates(spark, folder).select("o_orderkey", "spelt"), ["spelt"])
+
+
+@query
+def date_lost_cells(spark: SparkSession, folder: str) -> DataFrame:
+    orders = _spelt_dates(spark, folder)
+    return fit_dates(orders, ["us", "spelt", "dotted"]).report(orders)
+
+
 def _supplier_feature(name: str, column: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", column)
@@ -608,6 +638,35 @@ def check_own_rules(spark: SparkSession, folder: str) -> DataFrame:
     return check_custom(dirty_orders(spark, folder), rules)
 
 
+@query
+def check_rules_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules that break on single values, next to good and failing ones."""
+    rules = [
+        {"name": "price is not negative", "function": F.col("price") >= 0},
+        {"name": "customer is a number", "function": F.col("cust_txt").cast("int") > 0},
+        {"name": "known status", "function": F.col("status").isin("F", "O", "P")},
+        {"name": "not pending", "function": F.col("status") != "P"},
+        {"name": "odd share", "function": F.expr("1 / (order_id % 2) >= 1")},
+    ]
+    return check_custom(dirty_orders(spark, folder), rules)
+
+
+@query
+def strict_or_lenient(spark: SparkSession, folder: str) -> DataFrame:
+    """What a failed check does to a run: it ends a strict one, a lenient one goes on."""
+    checks = {"not_null": {"enabled": True, "columns": ["price"]}}
+    outcomes = []
+    for mode in ("strict", "lenient"):
+        stages = {"cleaning": False, "preprocessing": False, "strict_validation": mode == "strict"}
+        try:
+            result = QualityRun({"validation": checks, "pipeline": stages}).run(dirty_orders(spark, folder))
+        except ValidationError:
+            outcomes.append((mode, "raised", None))
+        else:
+            outcomes.append((mode, result.validation.first()["status"], result.data.count()))
+    return spark.createDataFrame(outcomes, "mode string, outcome string, rows bigint")
+
+
 @query
 def check_suite(spark: SparkSession, folder: str) -> DataFrame:
     return validate(

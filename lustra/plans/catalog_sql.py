@@ -464,6 +464,17 @@ SELECT row_ord, price, cust_txt FROM d1 WHERE cust IS NULL OR
     "date_parse": "WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN NULL "
     "ELSE o_orderdate END AS ordered_on FROM orders) "
     f"SELECT o_orderkey, ordered_on, {date_columns('ordered_on')} FROM t",
+    "date_parse_us": "WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 <> 0 THEN "
+    "date_trunc('day', o_orderdate)::timestamp END AS us FROM orders) "
+    f"SELECT o_orderkey, us, {date_columns('us')} FROM t",
+    "date_parse_month_name": "WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 <> 0 THEN "
+    "date_trunc('day', o_orderdate)::timestamp END AS spelt FROM orders) "
+    f"SELECT o_orderkey, spelt, {date_columns('spelt')} FROM t",
+    "date_lost_cells": "SELECT 'us' AS \"column\", 'M/d/yyyy[ H:mm[:ss]]' AS form, count(*) AS cells, "
+    "count(*) FILTER (o_orderkey % 29 = 0) AS lost FROM orders "
+    "UNION ALL SELECT 'spelt', 'MMMM d, yyyy', "
+    "count(*) FILTER (o_orderkey % 29 <> 0), 0 FROM orders "
+    "UNION ALL SELECT 'dotted', 'd.M.yyyy[ H:mm[:ss]]', count(*), 0 FROM orders",
     "agg_feature_prod": "SELECT l.l_orderkey, l.l_suppkey, round(g.p, 6) AS log_product "
     "FROM lineitem l LEFT JOIN (SELECT l_suppkey, ln(product(1 + l_tax)) AS p FROM lineitem "
     "GROUP BY l_suppkey) g ON l.l_suppkey = g.l_suppkey",
@@ -551,6 +562,27 @@ FROM j LEFT JOIN h ON j.status = h.status
             "custom", "broken", "true", "NULL", "NULL", "'failed'", "'function is not callable'"
         ),
     ),
+    "check_rules_broken": union(
+        count_row(
+            "custom", "price is not negative", "true", "count(*) FILTER (NOT price >= 0)", D
+        ),
+        report_row(
+            "custom", "customer is a number", "true", "NULL", "NULL", "'failed'",
+            "'raised NumberFormatException: CAST_INVALID_INPUT'",
+        ),
+        count_row(
+            "custom", "known status", "true", "count(*) FILTER (status NOT IN ('F', 'O', 'P'))", D
+        ),
+        count_row("custom", "not pending", "true", "count(*) FILTER (status = 'P')", D),
+        report_row(
+            "custom", "odd share", "true", "NULL", "NULL", "'failed'",
+            "'raised ArithmeticException: DIVIDE_BY_ZERO'",
+        ),
+    ),
+    "strict_or_lenient": f"SELECT 'strict' AS mode, CASE WHEN n > 0 THEN 'raised' ELSE 'passed' END AS outcome, "
+    f"CASE WHEN n = 0 THEN total END AS rows FROM (SELECT count(*) FILTER (price IS NULL) AS n, count(*) AS total FROM {D}) "
+    f"UNION ALL SELECT 'lenient', CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END, total "
+    f"FROM (SELECT count(*) FILTER (price IS NULL) AS n, count(*) AS total FROM {D})",
     "check_suite": union(
         count_row("value_ranges", "price", "min 0", "count(*) FILTER (price < 0)", D),
         count_row("value_ranges", "price", "max 400000", "count(*) FILTER (price > 400000)", D),

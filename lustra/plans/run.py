@@ -23,13 +23,14 @@ from lustra.operators.cleaning import (
     fit_numeric_cleaner,
     standardize_text,
 )
+from lustra.operators.dates import fit_dates
 from lustra.operators.dedup import remove_duplicates
 from lustra.operators.encoding import fit_labels, fit_onehot
-from lustra.operators.features import datetime_features, fit_group_features, select_features
+from lustra.operators.features import fit_group_features, select_features
 from lustra.operators.missing import drop_missing, fit_fill
 from lustra.operators.ordered_fill import fit_ordered_fill
 from lustra.operators.outliers import DEFAULT_FACTOR, OutlierModel, fit_outliers
-from lustra.operators.profile import duplicate_rows, merge_single_rows, missing_cells
+from lustra.operators.profile import cell_counts, merge_single_rows, missing_cells
 from lustra.operators.scaling import fit_scaler
 from lustra.plans.spec import ZERO_STEP, is_on, normalize_spec
 from lustra.operators.zeros import fit_invalid_zeros
@@ -57,11 +58,15 @@ MISSING_STRATEGIES = {"forward_fill": "forward", "backward_fill": "backward"}
 
 @dataclass
 class Stage:
-    """The table after one named step, and whether computing it again would shuffle."""
+    """The table after one named step.
+
+    ``shuffled`` says that computing it again would shuffle, ``drops`` that it may have fewer rows than the one before.
+    """
 
     name: str
     data: DataFrame
     shuffled: bool = False
+    drops: bool = True
 
 
 @dataclass
@@ -146,7 +151,7 @@ class QualityRun:
         if is_on(self.spec["pipeline"], "preprocessing"):
             prepared = self._prepare(cleaned, order, hidden, result.models)
         result.data = prepared.drop(*hidden)
-        result.stages = [Stage(s.name, s.data.drop(*hidden)) for s in stages]
+        result.stages = [Stage(s.name, s.data.drop(*hidden), drops=s.drops) for s in stages]
         return result
 
     def _needs_order(self) -> bool:
@@ -182,20 +187,20 @@ class QualityRun:
         cleaning = self.spec["cleaning"]
         stages = [Stage("input", df)]
 
-        def add(name: str, data: DataFrame, shuffled: bool = False) -> None:
-            stages.append(Stage(name, data, shuffled or stages[-1].shuffled))
+        def add(name: str, data: DataFrame, shuffled: bool = False, drops: bool = True) -> None:
+            stages.append(Stage(name, data, shuffled or stages[-1].shuffled, drops))
 
         def settled() -> DataFrame:
             """The latest table, written out first if a fit would otherwise repeat a shuffle."""
             latest = stages[-1]
             if latest.shuffled:
-                stages[-1] = Stage(latest.name, materialize(latest.data, latest.name))
+                stages[-1] = Stage(latest.name, materialize(latest.data, latest.name), drops=latest.drops)
             return stages[-1].data
 
         def fit_and_add(name: str, fit: Callable[[DataFrame], Any]) -> None:
             source = settled()
             model = models[name] = fit(source.drop(*hidden))
-            add(name, model.transform(source), getattr(model, "shuffles", False))
+            add(name, model.transform(source), getattr(model, "shuffles", False), getattr(model, "drops", False))
 
         add("drop_empty_rows", blanks_to_null(drop_blank_rows(df, ignore=hidden)))
         if is_on(cleaning, ZERO_STEP):
@@ -229,7 +234,7 @@ class QualityRun:
                 source = settled()
                 model = fit_ordered_fill(source, order, columns, direction)
                 models["handle_missing"] = model
-                add("handle_missing", model.transform(source), shuffled=True)
+                add("handle_missing", model.transform(source), shuffled=True, drops=False)
             else:
                 raise ValueError(f"unknown missing-value strategy {strategy!r}")
         if is_on(cleaning, "outliers"):
@@ -242,7 +247,7 @@ class QualityRun:
             self._treat_outliers(fit_and_add, "remove_outliers", options, columns, False)
         if is_on(cleaning, "standardize_text"):
             columns = cleaning["standardize_text"].get("columns") or []
-            add("standardize_text", standardize_text(stages[-1].data, columns))
+            add("standardize_text", standardize_text(stages[-1].data, columns), drops=False)
         # Checks, preparation and reports all read the cleaned table.
         settled()
         return stages
@@ -293,12 +298,14 @@ class QualityRun:
             df = models["encode_categorical"].transform(df)
         if is_on(preparing, "datetime_features"):
             options = preparing["datetime_features"]
-            df = datetime_features(
+            model = fit_dates(
                 df,
                 options.get("columns") or [],
                 options.get("format"),
                 options.get("all_or_nothing", False),
             )
+            models["datetime_features"] = model
+            df = model.transform(df)
         aggregations = self._aggregations()
         if aggregations:
             models["aggregate_features"] = fit_group_features(df, aggregations, order)
@@ -321,14 +328,15 @@ def _summary(result: RunResult) -> DataFrame:
     was_cleaned = len(stages) > 1
     inputs = {after.name: before.data for before, after in zip(stages, stages[1:], strict=False)}
     parts = [
-        raw.agg(
-            F.count(F.lit(1)).alias("initial_rows"),
-            fixed(len(raw.columns)).alias("initial_columns"),
-            missing_cells(raw).alias("initial_missing"),
-        ),
-        duplicate_rows(raw).withColumnRenamed("duplicate_rows", "initial_duplicates"),
+        # Rows, missing cells and duplicates of the input from one pass.
+        cell_counts(raw)
+        .withColumnsRenamed({"rows": "initial_rows", "missing_cells": "initial_missing", "duplicate_rows": "initial_duplicates"})
+        .withColumn("initial_columns", fixed(len(raw.columns))),
+        # No step of the preparation drops rows, so the prepared table need not be computed for its count.
         cleaned.agg(
             F.count(F.lit(1)).alias("cleaned_rows"),
+            F.count(F.lit(1)).alias("final_rows"),
+            fixed(len(result.data.columns)).alias("final_columns"),
             missing_cells(cleaned).alias("cleaned_missing"),
             fixed(len(numeric_columns(cleaned)) if was_cleaned else 0).alias(
                 "numeric_columns_validated"
@@ -338,10 +346,6 @@ def _summary(result: RunResult) -> DataFrame:
             fixed(0).alias("outliers_handled"),
             fixed(0).alias("type_coercions"),
         ),
-        result.data.agg(
-            F.count(F.lit(1)).alias("final_rows"),
-            fixed(len(result.data.columns)).alias("final_columns"),
-        ),
     ]
     for name, model in result.models.items():
         if name == "clean_numeric":
@@ -369,11 +373,16 @@ def _outlier_count(
 
 
 def _row_counts(stages: Sequence[Stage]) -> DataFrame:
-    """One row per step: rows after it. The difference to the row before is what it dropped."""
-    counted = [
-        s.data.agg(
-            F.lit(i).alias("position"), F.lit(s.name).alias("step"), F.count(F.lit(1)).alias("rows")
-        )
-        for i, s in enumerate(stages)
+    """One row per step: rows after it. The difference to the row before is what it dropped.
+
+    Only steps that can drop rows are counted; the ones that follow them have as many.
+    """
+    counted: list[tuple[DataFrame, list[Column]]] = []
+    for i, s in enumerate(stages):
+        if i == 0 or s.drops:
+            counted.append((s.data, []))
+        counted[-1][1].append(F.struct(F.lit(i).alias("position"), F.lit(s.name).alias("step")))
+    parts = [
+        data.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(F.array(*steps)), "rows") for data, steps in counted
     ]
-    return reduce(DataFrame.unionByName, counted)
+    return reduce(DataFrame.unionByName, parts)

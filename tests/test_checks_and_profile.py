@@ -22,6 +22,7 @@ from lustra.operators import (
 )
 from lustra.operators.checks import type_matches
 from lustra.operators.profile import merge_single_rows
+from lustra.operators.profile import cell_counts
 
 
 @pytest.fixture
@@ -223,3 +224,24 @@ def test_broken_rules_are_failures_next_to_good_ones(table):
         ("number", "failed"),
         ("good", "passed"),
     ]
+
+
+def test_rules_that_break_are_told_apart(make):
+    df = make("t string, n int", ("1", 0), ("x", 1), ("3", 2))
+    rules = [{"name": f"good {i}", "function": F.col("n") >= i} for i in range(5)]
+    rules.insert(1, {"name": "cast", "function": F.col("t").cast("int") > 0})
+    rules.insert(4, {"name": "division", "function": F.expr("6 / n > 1")})
+    rules.append({"name": "truth", "function": lambda df: True})
+    found = {r["column"]: (r["failed_rows"], r["status"], r["action"]) for r in check_custom(df, rules).collect()}
+    assert found.pop("cast") == (None, "failed", "raised NumberFormatException: CAST_INVALID_INPUT")
+    assert found.pop("division") == (None, "failed", "raised ArithmeticException: DIVIDE_BY_ZERO")
+    assert found.pop("truth")[1] == "passed"
+    assert [n for n, _, _ in found.values()] == [0, 1, 2, 3, 3]
+
+
+def test_cell_counts_come_from_one_pass(make):
+    df = make("a int, b double, m map<string,int>", (1, float("nan"), {"k": 1}), (1, None, None), (None, 2.0, {"k": 1}))
+    counted = cell_counts(df)
+    assert tuple(counted.first()) == (3, 4, 1)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    assert tuple(cell_counts(df.filter("false")).first()) == (0, 0, 0)

@@ -205,3 +205,25 @@ def test_fitted_models_on_a_stream(spark, tmp_path, values):
     query = write_stream(apply_models(stream, models), sink)
     assert query.awaitTermination(60) and query.exception() is None
     assert values(spark.read.parquet(sink)) == values(apply_models(train, models))
+
+
+def test_reports_count_only_tables_that_can_differ(make):
+    df = make("id int, t string, n int", (1, " a ", 0), (1, "a", 0), (2, None, 5), (3, "b", 7))
+    spec = {
+        "cleaning": {
+            "handle_invalid_zeros": {"n": {"strategy": "drop"}},
+            "handle_missing": {"strategy": "fill"},
+            "standardize_text": {"columns": ["t"]},
+        },
+        "preprocessing": {"feature_selection": {"enabled": True, "columns": ["n"], "action": "drop"}},
+    }
+    result = QualityRun(spec).run(df)
+    steps = {r["step"]: r["rows"] for r in result.steps.collect()}
+    assert [s.name for s in result.stages] == list(steps)
+    assert list(steps.values()) == [4, 4, 2, *[2] * (len(steps) - 3)]
+    # The steps that keep all rows take the count of the one before.
+    plan = result.steps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == sum(s.drops for s in result.stages)
+    summary = result.summary.first()
+    assert (summary["initial_rows"], summary["initial_missing"], summary["initial_duplicates"]) == (4, 1, 0)
+    assert (summary["final_rows"], summary["final_columns"], summary["duplicates_removed"]) == (2, 2, 2)
