@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lustra.llm.components import connected
 from lustra.llm.texts import (
+    WHITE_CHARS,
     as_bytes,
     blocked,
     bucket_bits,
@@ -407,13 +408,27 @@ def _labelled(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataF
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay: of each group of linked documents the one with the smallest id.
+    """The rows that stay: of each group of linked texts one row, that with the smallest id.
 
-    Of rows with one id, one stays. Rows with a null id stay.
+    Rows are told apart by a 64-bit hash of id and text, so rows that share an id without being linked all stay, and a null id
+    is the last of its group. Of rows equal in id and text the one with the smallest hash of all columns stays. Texts without
+    words are linked with nothing, so all their rows stay.
     """
-    groups = materialize(link_documents(docs, id_col, text_col).filter("doc IS NOT NULL"), "groups")
-    stay = groups.groupBy("doc").agg(F.min("component").alias("component")).filter("doc = component").select(F.col("doc").alias("__stays"))
-    known = docs.filter(F.col(id_col).isNotNull())
-    one = Window.partitionBy("__stays").orderBy(F.lit(1))
-    kept = known.join(stay, F.col(id_col).cast("long") == F.col("__stays")).withColumn("__nth", F.row_number().over(one))
-    return kept.filter(F.col("__nth") == 1).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    has_words = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(WHITE_CHARS)) != ""
+    texts = docs.filter(has_words)
+    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+    groups = materialize(
+        link_documents(texts.select(mark.alias("mark"), F.col(text_col).alias("text")), "mark", "text").select(
+            F.col("doc").alias("mark"), "component"
+        ),
+        "groups",
+    )
+    ids = texts.select(mark.alias("mark"), F.col(id_col).alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    stay = groups.distinct().join(ids, "mark").groupBy("component").agg(F.min(order).alias("first")).select("first.mark")
+    one = Window.partitionBy("mark").orderBy("all")
+    hashable = [name for name, kind in docs.dtypes if "map<" not in kind]
+    rows = texts.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"), F.xxhash64(*hashable).alias("all"))
+    # Copies collapse before the shuffle, in which the rows then meet those that stay.
+    first = rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    return first.join(stay.hint("shuffle_hash"), "mark").select("row.*").unionByName(docs.filter(~has_words))

@@ -63,7 +63,30 @@ def test_jaccard_groups(docs, texts):
     found = {r["doc"]: (r["n_shingles"], r["component"]) for r in jaccard.link_documents(docs).collect()}
     assert found == groups(texts)
     kept = [r["doc_id"] for r in jaccard.first_of_groups(docs).collect()]
-    assert sorted(kept) == sorted({c for _, c in found.values()})
+    blank = [i for i, t in enumerate(texts) if not (t or '').strip(' \t\n\v\f\r')]
+    assert sorted(kept) == sorted({c for _, c in found.values()} | set(blank))
+
+
+def test_first_of_groups_goes_by_row(spark):
+    """Repeated ids of unlinked texts, copies without an id, texts without words, columns with the names of the operator."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [
+        (1, a, "x", 1), (1, b, "x", 1), (None, c, "x", 1), (None, c, "y", 2), (None, c, "y", 2),
+        (7, b + " end", "x", 1), (5, a, "x", 3), (5, a, "y", 3), (0, a + " end", "x", 1),
+        (3, "", "x", 1), (3, "", "x", 1), (3, None, "x", 1), (None, " ", "x", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, row int")
+    kept = [tuple(r) for r in jaccard.first_of_groups(docs).collect()]
+    blank = [r for r in rows if not (r[1] or "").strip()]
+    found = [r for r in kept if (r[1] or "").strip()]
+    assert sorted(map(str, kept)) == sorted(map(str, blank + found))
+    # Of the copies of a the one with id 0, of those of b that with id 1, and one of those of c.
+    assert sorted((str(r[0]), r[1]) for r in found) == [("0", a + " end"), ("1", b), ("None", c)]
+    again = [tuple(r) for r in jaccard.first_of_groups(docs.repartition(5)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, kept))
+    texts = docs.selectExpr("concat('k', doc_id) as doc_id", "text")
+    assert jaccard.first_of_groups(texts).count() == len(kept)
+    assert jaccard.first_of_groups(docs.filter("false")).collect() == []
 
 
 def test_small_sets_by_subsets_and_lists(spark):
