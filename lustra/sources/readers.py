@@ -47,6 +47,8 @@ ROW_ORDER = ("_block_position", "_row_position")
 POSITION_BITS = 63
 # Holds the text of CSV rows whose number of cells is not that of the header.
 BROKEN = "_broken_row"
+# A cell that no file holds.
+EXTRA_CELL = "\x01one more\x02"
 
 
 def path_format(path: str) -> str:
@@ -114,9 +116,20 @@ def read_csv(
     raw = reduce(DataFrame.unionByName, parts)
     names = [c for c in parts[0].columns if c != BROKEN and c not in ROW_ORDER]
     blanked = {c: _null_tokens_to_null(c) for c in names}
-    bare = F.regexp_replace(BROKEN, '"[^"]*"', "")
-    overlong = F.regexp_count(bare, F.lit(",")) >= len(names)
-    return infer_column_types(replace_columns(raw, blanked), names, overlong).drop(BROKEN)
+    return infer_column_types(replace_columns(raw, blanked), names, _is_overlong(len(names))).drop(BROKEN)
+
+
+def _is_overlong(columns: int) -> Column:
+    """Whether a row that has not as many cells as the header has more of them.
+
+    The parser itself tells: one more cell is appended to the row, and only in a row that is too short does it end up in a
+    column. Quotes inside a cell and empty cells at the end are then read as anywhere else.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    longer = F.concat(F.col(BROKEN), F.lit("," + EXTRA_CELL))
+    cells = F.from_csv(longer, schema, {"quote": '"', "escape": '"'})
+    found = [F.coalesce(cells[f"c{i}"] == EXTRA_CELL, F.lit(False)) for i in range(columns)]
+    return F.col(BROKEN).isNotNull() & ~F.greatest(*found, F.lit(False))
 
 
 def _alike_files(spark: SparkSession, path: str) -> list[tuple[str | None, bool, list[str]]]:

@@ -157,3 +157,20 @@ def test_json_columns_come_in_file_order(spark, tmp_path):
     assert read_table(spark, lines).columns == ["z", "a", "m", "b"]
     array = write(tmp_path / "a.json", '[{"z": 1, "a": 2},\n{"m": 0, "z": 4}]')
     assert read_table(spark, array).columns == ["z", "a", "m"]
+
+
+@pytest.mark.parametrize("row", ['1,5" x,y 6"', '1,"5, x",y', "1,x,", "1,,,", '1,"a ""b"", c","d"', '"1","x\ny",z'])
+def test_the_parser_tells_overlong_rows(spark, tmp_path, row):
+    with pytest.raises(ValueError, match="1 rows have more cells"):
+        read_csv(spark, write(tmp_path / "t.csv", f"a,b\n1,x\n{row}\n"))
+
+
+@pytest.mark.parametrize(("row", "cells"), [("1", (1, None)), ('"1"', (1, None)), ('1,5" x', (1, '5" x')), ('1,"5, x"', (1, "5, x"))])
+def test_rows_that_are_no_longer_than_the_header_are_read(spark, tmp_path, values, row, cells):
+    assert values(read_csv(spark, write(tmp_path / "t.csv", f"a,b\n2,y\n{row}\n"))) == sorted([cells, (2, "y")], key=str)
+
+
+def test_single_column_files(spark, tmp_path):
+    assert read_csv(spark, write(tmp_path / "t.csv", "a\n1\n2\n")).count() == 2
+    with pytest.raises(ValueError, match="1 rows have more cells"):
+        read_csv(spark, write(tmp_path / "u.csv", "a\n1\n2,3\n"))
