@@ -27,6 +27,11 @@ class LabelEncoder:
 
     lookups: dict[str, Lookup] = field(default_factory=dict)
 
+    @property
+    def shuffles(self) -> bool:
+        """Whether the transform joins a table too large to broadcast."""
+        return any(not lookup.broadcastable for lookup in self.lookups.values())
+
     def transform(self, df: DataFrame) -> DataFrame:
         for column, lookup in self.lookups.items():
             if column not in df.columns:

@@ -72,6 +72,11 @@ class GroupFeatures:
 
     lookups: list[Lookup] = field(default_factory=list)
 
+    @property
+    def shuffles(self) -> bool:
+        """Whether the transform joins a table too large to broadcast."""
+        return any(not lookup.broadcastable for lookup in self.lookups)
+
     def transform(self, df: DataFrame) -> DataFrame:
         for lookup in self.lookups:
             df = lookup.attach(df)

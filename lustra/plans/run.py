@@ -34,7 +34,7 @@ from lustra.operators.profile import cell_counts, merge_single_rows, missing_cel
 from lustra.operators.scaling import fit_scaler
 from lustra.plans.spec import ZERO_STEP, is_on, normalize_spec
 from lustra.operators.zeros import fit_invalid_zeros
-from lustra.session import materialize
+from lustra.session import drop_folder, materialize, run_folder
 from lustra.sources import ROW_ORDER, path_format, read_table, write_table
 
 OUTLIER_STEPS = ("outliers", "remove_outliers")
@@ -71,7 +71,11 @@ class Stage:
 
 @dataclass
 class RunResult:
-    """The prepared table and its reports. All reports are lazy tables, built on demand."""
+    """The prepared table and its reports. All reports are lazy tables, built on demand.
+
+    The tables the run wrote on the way, those of its models included, lie in one folder until ``close``, or until the end of
+    a ``with`` block. What was saved stays, but ``data``, the reports and models that look values up need the folder.
+    """
 
     raw: DataFrame
     data: DataFrame
@@ -79,6 +83,18 @@ class RunResult:
     validation: DataFrame | None = None
     validation_before: DataFrame | None = None
     models: dict[str, Any] = field(default_factory=dict)
+    folder: str | None = None
+
+    def close(self) -> None:
+        """Drop the tables of the run."""
+        if self.folder:
+            drop_folder(self.raw.sparkSession, self.folder)
+
+    def __enter__(self) -> RunResult:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -112,13 +128,14 @@ class QualityRun:
         """
         needs_order = self._needs_order()
         input_format = input_format or path_format(input_path)
-        df = read_table(spark, input_path, input_format, row_order=needs_order)
-        if input_format != "parquet":
-            df = materialize(df, "input")
-        result = self.run(df, ROW_ORDER if needs_order else None, bookkeeping=ROW_ORDER)
-        if output_path:
-            write_table(result.data, output_path, output_format)
-        return result
+        with run_folder(spark):
+            df = read_table(spark, input_path, input_format, row_order=needs_order)
+            if input_format != "parquet":
+                df = materialize(df, "input")
+            result = self.run(df, ROW_ORDER if needs_order else None, bookkeeping=ROW_ORDER)
+            if output_path:
+                write_table(result.data, output_path, output_format)
+            return result
 
     def run(
         self,
@@ -131,6 +148,14 @@ class QualityRun:
         ``bookkeeping`` names columns that only carry that order; no step treats them as
         data and they are left out of the result.
         """
+        with run_folder(df.sparkSession) as folder:
+            result = self._run(df, order_by, bookkeeping)
+        result.folder = folder
+        return result
+
+    def _run(
+        self, df: DataFrame, order_by: str | Sequence[str] | None, bookkeeping: Sequence[str]
+    ) -> RunResult:
         order = [order_by] if isinstance(order_by, str) else list(order_by or ())
         hidden = [c for c in bookkeeping if c in df.columns]
         strict = self.spec["pipeline"].get("strict_validation", False)
@@ -275,7 +300,10 @@ class QualityRun:
     def _prepare(
         self, df: DataFrame, order: list[str], hidden: list[str], models: dict[str, Any]
     ) -> DataFrame:
-        """Selection, scaling, encoding, date parts, group features, in this order."""
+        """Selection, scaling, encoding, date parts, group features, in this order.
+
+        As in cleaning, a fit that would repeat the join of a model before it reads a written table instead.
+        """
         preparing = self.spec["preprocessing"]
         if is_on(preparing, "feature_selection"):
             options = preparing["feature_selection"]
@@ -283,34 +311,38 @@ class QualityRun:
             if action == "keep":
                 columns += [c for c in hidden if c not in columns]
             df = select_features(df, columns, action)
+        latest = Stage("prepare", df)
+
+        def fit_and_apply(name: str, fit: Callable[[DataFrame], Any]) -> None:
+            nonlocal latest
+            if latest.shuffled:
+                latest = Stage(latest.name, materialize(latest.data, latest.name))
+            model = models[name] = fit(latest.data)
+            latest = Stage(name, model.transform(latest.data), getattr(model, "shuffles", False))
+
         if is_on(preparing, "normalize"):
-            options = preparing["normalize"]
-            model = fit_scaler(df, options.get("columns") or [], options.get("method", "standard"))
-            models["normalize"] = model
-            df = model.transform(df)
+            scaling = preparing["normalize"]
+            method = scaling.get("method", "standard")
+            fit_and_apply("normalize", lambda d: fit_scaler(d, scaling.get("columns") or [], method))
         if is_on(preparing, "encode_categorical"):
-            options = preparing["encode_categorical"]
-            method = options.get("method", "label")
+            encoding = preparing["encode_categorical"]
+            method = encoding.get("method", "label")
             if method not in ("label", "onehot"):
                 raise ValueError(f"unknown encoding method {method!r}")
-            fit = fit_labels if method == "label" else fit_onehot
-            models["encode_categorical"] = fit(df, options.get("columns") or [])
-            df = models["encode_categorical"].transform(df)
+            encode = fit_labels if method == "label" else fit_onehot
+            fit_and_apply("encode_categorical", lambda d: encode(d, encoding.get("columns") or []))
         if is_on(preparing, "datetime_features"):
-            options = preparing["datetime_features"]
-            model = fit_dates(
-                df,
-                options.get("columns") or [],
-                options.get("format"),
-                options.get("all_or_nothing", False),
+            dates = preparing["datetime_features"]
+            fit_and_apply(
+                "datetime_features",
+                lambda d: fit_dates(
+                    d, dates.get("columns") or [], dates.get("format"), dates.get("all_or_nothing", False)
+                ),
             )
-            models["datetime_features"] = model
-            df = model.transform(df)
         aggregations = self._aggregations()
         if aggregations:
-            models["aggregate_features"] = fit_group_features(df, aggregations, order)
-            df = models["aggregate_features"].transform(df)
-        return df
+            fit_and_apply("aggregate_features", lambda d: fit_group_features(d, aggregations, order))
+        return latest.data
 
 
 def _summary(result: RunResult) -> DataFrame:

@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
 def build_session(master: str = "local[8]", app_name: str = "lustra", **conf: str) -> SparkSession:
@@ -57,9 +61,36 @@ def _local_folder(application_id: str) -> str:
     return tempfile.mkdtemp(prefix=f"lustra-{application_id}-")
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all tables written inside, so that they can be dropped together.
+
+    A run inside a run shares its folder. If the run fails, the folder is dropped at once.
+    """
+    outer = _run_folder.get()
+    if outer:
+        yield outer
+        return
+    path = new_scratch_path(spark, "run")
+    token = _run_folder.set(path)
+    try:
+        yield path
+    except BaseException:
+        drop_folder(spark, path)
+        raise
+    finally:
+        _run_folder.reset(token)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; one that does not exist is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def new_scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{scratch_dir(spark)}/lustra-{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder, or below that of the run, that nothing else uses."""
+    return f"{_run_folder.get() or scratch_dir(spark)}/lustra-{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

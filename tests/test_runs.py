@@ -1,8 +1,12 @@
+from dataclasses import replace
+
 import pytest
 
-from lustra import QualityRun, read_table
-from lustra.operators import ValidationError, fit_fill, fit_numeric_cleaner, fit_outliers
-from lustra.plans import normalize_spec
+from lustra import QualityRun, read_table, session
+from lustra.operators import ValidationError, encoding, fit_fill, fit_numeric_cleaner, fit_outliers
+from lustra.operators.lookup import build_lookup
+from lustra.plans import normalize_spec, run
+from lustra.session import materialize
 from lustra.streaming import apply_models, write_stream
 
 PEOPLE = """name,age,city,salary
@@ -227,3 +231,56 @@ def test_reports_count_only_tables_that_can_differ(make):
     summary = result.summary.first()
     assert (summary["initial_rows"], summary["initial_missing"], summary["initial_duplicates"]) == (4, 1, 0)
     assert (summary["final_rows"], summary["final_columns"], summary["duplicates_removed"]) == (2, 2, 2)
+
+
+def test_a_fit_does_not_repeat_the_join_of_the_model_before_it(make, monkeypatch):
+    """With lookups that are too large to broadcast, the table after the encoding is written once."""
+    written = []
+    monkeypatch.setattr(run, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    large = lambda *args, **options: replace(build_lookup(*args, **options), broadcastable=False)
+    monkeypatch.setattr(encoding, "build_lookup", large)
+    df = make("t string, g string, n double", ("a", "x", 1.0), ("b", "x", 3.0), ("a", "y", 5.0))
+    spec = {
+        "pipeline": {"cleaning": False},
+        "preprocessing": {
+            "encode_categorical": {"enabled": True, "columns": ["t"], "method": "label"},
+            "aggregate_features": {
+                "enabled": True,
+                "aggregations": {"m": {"group_by": "g", "column": "n", "function": "mean"}},
+            },
+        },
+    }
+    result = QualityRun(spec).run(df)
+    assert written == ["encode_categorical"]
+    assert sorted((r["t"], r["m_mean"]) for r in result.data.collect()) == [(0, 2.0), (0, 5.0), (1, 2.0)]
+
+
+def test_a_run_drops_its_tables(spark, tmp_path, monkeypatch):
+    """Everything a run writes lies in one folder, which goes with the result; the output stays."""
+    scratch = tmp_path / "shared"
+    monkeypatch.setattr(session, "scratch_dir", lambda spark: str(scratch))
+    source, output = str(tmp_path / "in.csv"), str(tmp_path / "out.parquet")
+    (tmp_path / "in.csv").write_text(PEOPLE)
+    spec = {
+        "cleaning": {
+            "handle_invalid_zeros": {"age": {"strategy": "neighborhood_mean", "group_by": "city"}},
+            "remove_duplicates": {"keep": "first"},
+            "handle_missing": {"strategy": "forward_fill"},
+        },
+        "preprocessing": {"encode_categorical": {"enabled": True, "columns": ["city"], "method": "label"}},
+    }
+    with QualityRun(spec).process(spark, source, output) as result:
+        rows = result.data.count()
+        assert result.summary.first()["final_rows"] == rows
+        assert len(list(scratch.iterdir())) == 1
+    assert list(scratch.iterdir()) == []
+    assert read_table(spark, output).count() == rows
+    result.close()
+    strict = {
+        "cleaning": {"remove_duplicates": {"keep": "first"}},
+        "validation": {"not_null": {"enabled": True, "columns": ["age"]}},
+        "pipeline": {"strict_validation": True},
+    }
+    with pytest.raises(ValidationError):
+        QualityRun(strict).process(spark, source)
+    assert list(scratch.iterdir()) == []
