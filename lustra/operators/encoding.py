@@ -15,6 +15,8 @@ from lustra.operators.lookup import GROUP_ROWS, Lookup, build_lookup
 from lustra.session import materialize
 
 METHODS = ("label", "onehot")
+# Categories of a column that become columns, unless another bound is given; more of them are an error.
+MAX_CATEGORIES = 10_000
 # Fixed value: the label class of a missing value, sorted among the other classes.
 MISSING_CLASS = "nan"
 # monotonically_increasing_id keeps the partition above this bit and the row below it.
@@ -114,9 +116,9 @@ def _text(value: Any) -> str:
 
 
 def fit_onehot(
-    df: DataFrame, columns: Sequence[str], max_categories: int | None = None
+    df: DataFrame, columns: Sequence[str], max_categories: int | None = MAX_CATEGORIES
 ) -> OneHotEncoder:
-    """Collect the categories, which become columns; with ``max_categories``, more of them are an error."""
+    """Collect the categories, which become columns; more than ``max_categories`` are an error, None is no bound."""
     categories = {}
     for column in known_columns(df, columns):
         values = df.select(quoted(column).alias("v")).filter("v is not null").distinct()
@@ -129,9 +131,14 @@ def fit_onehot(
     return OneHotEncoder(categories)
 
 
-def encode_categorical(df: DataFrame, columns: Sequence[str], method: str = "label") -> DataFrame:
+def encode_categorical(
+    df: DataFrame,
+    columns: Sequence[str],
+    method: str = "label",
+    max_categories: int | None = MAX_CATEGORIES,
+) -> DataFrame:
     """Fit and apply in one call."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
-    fit = fit_labels if method == "label" else fit_onehot
-    return fit(df, columns).transform(df)
+    model = fit_labels(df, columns) if method == "label" else fit_onehot(df, columns, max_categories)
+    return model.transform(df)

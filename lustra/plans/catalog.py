@@ -393,6 +393,13 @@ def outlier_iqr_drop(spark: SparkSession, folder: str) -> DataFrame:
     return remove_outliers(lines, ["l_extendedprice", "l_quantity"], "iqr", factor=0.2)
 
 
+@query
+def outlier_iqr_drop_simultaneous(spark: SparkSession, folder: str) -> DataFrame:
+    """Both bounds come from all rows."""
+    lines = table(spark, folder, "lineitem")
+    return remove_outliers(lines, ["l_extendedprice", "l_quantity"], "iqr", factor=0.2, simultaneous=True)
+
+
 @query
 def outlier_iqr_drop_dirty(spark: SparkSession, folder: str) -> DataFrame:
     orders = dirty_orders(spark, folder).select("row_ord", "price", "cust_txt")
@@ -524,6 +531,26 @@ def date_lost_cells(spark: SparkSession, folder: str) -> DataFrame:
     return fit_dates(orders, ["us", "spelt", "dotted"]).report(orders)
 
 
+@query
+def date_all_or_nothing(spark: SparkSession, folder: str) -> DataFrame:
+    """A column that would lose cells stays as it is."""
+    orders = _spelt_dates(spark, folder).select("o_orderkey", "us", "dotted")
+    return datetime_features(orders, ["us", "dotted"], all_or_nothing=True)
+
+
+@query
+def feature_skipped(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules on unknown columns, without a group or of unfit types leave the others alone."""
+    rules = {
+        "unknown": {"group_by": "l_suppkey", "column": "weight", "function": "mean"},
+        "incomplete": {"column": "l_quantity", "function": "mean"},
+        "unfit": {"group_by": "l_suppkey", "column": "l_shipmode", "function": "mean"},
+        "kept": {"group_by": "l_suppkey", "column": "l_quantity", "function": "max"},
+    }
+    lines = table(spark, folder, "lineitem").withColumn("l_shipmode", F.col("l_linenumber").cast("string"))
+    return aggregate_features(lines.select("l_orderkey", "l_suppkey", "l_quantity", "l_shipmode"), rules)
+
+
 def _supplier_feature(name: str, column: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", column)
@@ -667,6 +694,21 @@ def strict_or_lenient(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(outcomes, "mode string, outcome string, rows bigint")
 
 
+@query
+def check_fail_fast(spark: SparkSession, folder: str) -> DataFrame:
+    """The first check that fails ends a suite that is asked to fail fast."""
+    orders = dirty_orders(spark, folder)
+    outcomes = []
+    for column in ("price", "row_ord"):
+        try:
+            validate(orders, {"not_null": {"enabled": True, "columns": [column]}}, fail_fast=True)
+        except ValidationError:
+            outcomes.append((column, "raised"))
+        else:
+            outcomes.append((column, "passed"))
+    return spark.createDataFrame(outcomes, "column string, outcome string")
+
+
 @query
 def check_suite(spark: SparkSession, folder: str) -> DataFrame:
     return validate(
@@ -741,6 +783,36 @@ def parquet_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return _round_trip(spark, folder, "parquet")
 
 
+def _first_in_file(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
+    """First order of each customer in the order of files that were written by falling order key."""
+    path = new_scratch_path(spark, "falling") + f".{fmt}"
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    write_table(orders.orderBy(F.desc("o_orderkey")), path)
+    read = read_table(spark, path, row_order=True)
+    return remove_duplicates(read, ["o_custkey"], "first", ROW_ORDER).drop(*ROW_ORDER)
+
+
+@query
+def csv_row_order(spark: SparkSession, folder: str) -> DataFrame:
+    return _first_in_file(spark, folder, "csv")
+
+
+@query
+def json_row_order(spark: SparkSession, folder: str) -> DataFrame:
+    return _first_in_file(spark, folder, "json")
+
+
+@query
+def csv_swapped_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder of files whose columns stand in different order."""
+    path = new_scratch_path(spark, "swapped") + ".csv"
+    orders = table(spark, folder, "orders")
+    for odd, columns in enumerate((["o_orderkey", "o_custkey"], ["o_custkey", "o_orderkey"])):
+        part = orders.filter(F.col("o_orderkey") % 2 == odd).select(*columns)
+        part.write.option("header", True).mode("append").csv(path)
+    return read_table(spark, path).select("o_orderkey", "o_custkey")
+
+
 @query
 def csv_typing(spark: SparkSession, folder: str) -> DataFrame:
     """Types a CSV of customers gets: one row per column."""

@@ -422,6 +422,12 @@ l1 AS (SELECT * FROM lineitem WHERE l_extendedprice IS NULL OR
 q2 AS ({iqr("l_quantity", "l1", "0.2")})
 SELECT * FROM l1 WHERE l_quantity IS NULL OR
   l_quantity BETWEEN (SELECT lo FROM q2) AND (SELECT hi FROM q2)
+""",
+    "outlier_iqr_drop_simultaneous": f"""
+WITH q1 AS ({iqr("l_extendedprice", "lineitem", "0.2")}), q2 AS ({iqr("l_quantity", "lineitem", "0.2")})
+SELECT * FROM lineitem WHERE (l_extendedprice IS NULL OR
+  l_extendedprice BETWEEN (SELECT lo FROM q1) AND (SELECT hi FROM q1)) AND (l_quantity IS NULL OR
+  l_quantity BETWEEN (SELECT lo FROM q2) AND (SELECT hi FROM q2))
 """,
     "outlier_iqr_drop_dirty": f"""
 WITH d AS (SELECT row_ord, price, cust_txt, {number("cust_txt")} AS cust FROM {D}),
@@ -470,6 +476,18 @@ SELECT row_ord, price, cust_txt FROM d1 WHERE cust IS NULL OR
     "date_parse_month_name": "WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 <> 0 THEN "
     "date_trunc('day', o_orderdate)::timestamp END AS spelt FROM orders) "
     f"SELECT o_orderkey, spelt, {date_columns('spelt')} FROM t",
+    "date_all_or_nothing": "WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN 'not a date' "
+    "ELSE strftime(o_orderdate, '%m/%d/%Y') END AS us, "
+    "date_trunc('minute', o_orderdate)::timestamp AS dotted FROM orders) "
+    f"SELECT o_orderkey, us, dotted, {date_columns('dotted')} FROM t",
+    "feature_skipped": "SELECT l_orderkey, l_suppkey, l_quantity, CAST(l_linenumber AS VARCHAR) AS l_shipmode, "
+    "max(l_quantity) OVER (PARTITION BY l_suppkey) AS kept_max FROM lineitem",
+    "check_fail_fast": f"SELECT 'price' AS \"column\", CASE WHEN count(*) FILTER (price IS NULL) > 0 THEN 'raised' "
+    f"ELSE 'passed' END AS outcome FROM {D} UNION ALL SELECT 'row_ord', CASE WHEN count(*) FILTER (row_ord IS NULL) > 0 "
+    f"THEN 'raised' ELSE 'passed' END FROM {D}",
+    "csv_row_order": "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey",
+    "json_row_order": "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey",
+    "csv_swapped_headers": "SELECT o_orderkey, o_custkey FROM orders",
     "date_lost_cells": "SELECT 'us' AS \"column\", 'M/d/yyyy[ H:mm[:ss]]' AS form, count(*) AS cells, "
     "count(*) FILTER (o_orderkey % 29 = 0) AS lost FROM orders "
     "UNION ALL SELECT 'spelt', 'MMMM d, yyyy', "

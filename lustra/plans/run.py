@@ -25,7 +25,7 @@ from lustra.operators.cleaning import (
 )
 from lustra.operators.dates import fit_dates
 from lustra.operators.dedup import remove_duplicates
-from lustra.operators.encoding import fit_labels, fit_onehot
+from lustra.operators.encoding import MAX_CATEGORIES, fit_labels, fit_onehot
 from lustra.operators.features import fit_group_features, select_features
 from lustra.operators.missing import drop_missing, fit_fill
 from lustra.operators.ordered_fill import fit_ordered_fill
@@ -329,8 +329,12 @@ class QualityRun:
             method = encoding.get("method", "label")
             if method not in ("label", "onehot"):
                 raise ValueError(f"unknown encoding method {method!r}")
-            encode = fit_labels if method == "label" else fit_onehot
-            fit_and_apply("encode_categorical", lambda d: encode(d, encoding.get("columns") or []))
+            columns = encoding.get("columns") or []
+            most = encoding.get("max_categories", MAX_CATEGORIES)
+            fit_and_apply(
+                "encode_categorical",
+                lambda d: fit_labels(d, columns) if method == "label" else fit_onehot(d, columns, most),
+            )
         if is_on(preparing, "datetime_features"):
             dates = preparing["datetime_features"]
             fit_and_apply(

@@ -47,7 +47,7 @@ OPTIONS: dict[str, dict[str, tuple[str, ...]]] = {
     "preprocessing": {
         "feature_selection": ("enabled", "action", "columns"),
         "normalize": ("enabled", "columns", "method"),
-        "encode_categorical": ("enabled", "columns", "method"),
+        "encode_categorical": ("enabled", "columns", "method", "max_categories"),
         "datetime_features": ("enabled", "columns", "format", "all_or_nothing"),
         "aggregate_features": ("enabled", "aggregations"),
     },

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lustra.functions.numbers import parse_number
 from lustra.functions.text import quoted, trim_text
 from lustra.operators.cleaning import replace_columns
+from lustra.operators.lookup import BROADCAST_BYTES, ROW_OVERHEAD_BYTES
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -270,11 +271,13 @@ def with_row_order(df: DataFrame, fmt: str, files: Sequence[str] | None = None)
     )
     unknown = F.raise_error(F.concat(F.lit("file not listed: "), F.col("_file"))).cast("bigint")
     number = F.coalesce(F.col("_file_number"), unknown)
-    # One row per file, a list the driver already holds to plan the scan.
     too_far = F.raise_error(F.concat(F.lit("file too long to be numbered: "), F.col("_file")))
     start = F.when(F.col(block) < (1 << shift), F.col(block)).otherwise(too_far.cast("bigint"))
+    # One row per file, a list the driver already holds to plan the scan; its size is known from there.
+    if sum(len(f) + ROW_OVERHEAD_BYTES for f in files) <= BROADCAST_BYTES:
+        numbered = F.broadcast(numbered)
     return (
-        placed.join(F.broadcast(numbered), "_file", "left")
+        placed.join(numbered, "_file", "left")
         .withColumn(block, F.shiftleft(number, shift) + start)
         .select(*[quoted(c) for c in df.columns], block, row)
     )

@@ -7,6 +7,7 @@ from lustra.sources import (
     dataset_metadata,
     read_csv,
     read_table,
+    readers,
     with_row_order,
     write_table,
 )
@@ -174,3 +175,17 @@ def test_single_column_files(spark, tmp_path):
     assert read_csv(spark, write(tmp_path / "t.csv", "a\n1\n2\n")).count() == 2
     with pytest.raises(ValueError, match="1 rows have more cells"):
         read_csv(spark, write(tmp_path / "u.csv", "a\n1\n2,3\n"))
+
+
+def test_long_file_lists_are_not_broadcast(spark, tmp_path, monkeypatch):
+    for i in range(4):
+        write(tmp_path / "t.csv" / f"{i}.csv", f"a,b\n{i},x\n{i},y\n")
+    monkeypatch.setattr(readers, "BROADCAST_BYTES", 10)
+    setting, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(setting, "-1")
+    try:
+        df = read_table(spark, str(tmp_path / "t.csv"), row_order=True)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r)[:2] for r in df.orderBy(*ROW_ORDER).collect()] == [(i, c) for i in range(4) for c in "xy"]
+    finally:
+        spark.conf.set(setting, before)
