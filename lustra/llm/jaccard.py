@@ -52,6 +52,7 @@ from lustra.llm.texts import (
     window_starts,
     word_hashes,
 )
+from lustra.operators.lookup import GROUP_ROWS, build_lookup
 from lustra.session import materialize
 
 #: Words of a shingle, and the least similarity in percent.
@@ -407,28 +408,44 @@ def _labelled(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataF
     )
 
 
+def _marked(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, id, text, mark``: a number for each id and text.
+
+    It is the id itself where that is a whole number and has one text only, as small ids make good centres: the first version of a text is
+    closer to its copies than they are to each other. Other rows take a 64-bit hash of id and text, beyond usual ids.
+    """
+    mark = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = texts.select(F.struct(*texts.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))
+    if dict(rows.dtypes)["id"] not in ("tinyint", "smallint", "int", "bigint"):
+        return rows
+    counted = rows.filter("id IS NOT NULL").groupBy("id").agg(
+        F.min("mark").alias("a"), F.max("mark").alias("b"), F.count(F.lit(1)).alias(GROUP_ROWS)
+    )
+    several = materialize(counted.filter("a < b").select("id", F.lit(True).alias("several"), GROUP_ROWS), "repeated-ids")
+    if several.isEmpty():
+        return rows.withColumn("mark", F.coalesce(F.col("id").cast("long"), "mark"))
+    told = build_lookup(several, "id", written=True).attach(rows)
+    own = F.when(F.col("id").isNotNull() & F.col("several").isNull(), F.col("id").cast("long"))
+    return told.withColumn("mark", F.coalesce(own, "mark")).drop("several")
+
+
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay: of each group of linked texts one row, that with the smallest id.
 
-    Rows are told apart by a 64-bit hash of id and text, so rows that share an id without being linked all stay, and a null id
-    is the last of its group. Of rows equal in id and text the one with the smallest hash of all columns stays. Texts without
+    Rows that share an id without being linked all stay, and a null id is the last of its group; such rows are told
+    apart by a 64-bit hash of id and text. Of rows equal in id and text the one with the smallest hash of all columns stays. Texts without
     words are linked with nothing, so all their rows stay.
     """
     has_words = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(WHITE_CHARS)) != ""
-    texts = docs.filter(has_words)
-    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = _marked(docs.filter(has_words), id_col, text_col)
     groups = materialize(
-        link_documents(texts.select(mark.alias("mark"), F.col(text_col).alias("text")), "mark", "text").select(
-            F.col("doc").alias("mark"), "component"
-        ),
-        "groups",
+        link_documents(rows.select("mark", "text"), "mark", "text").select(F.col("doc").alias("mark"), "component"), "groups"
     )
-    ids = texts.select(mark.alias("mark"), F.col(id_col).alias("id")).distinct()
+    ids = rows.select("mark", "id").distinct()
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
     stay = groups.distinct().join(ids, "mark").groupBy("component").agg(F.min(order).alias("first")).select("first.mark")
     one = Window.partitionBy("mark").orderBy("all")
-    hashable = [name for name, kind in docs.dtypes if "map<" not in kind]
-    rows = texts.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"), F.xxhash64(*hashable).alias("all"))
+    hashable = [F.col(f"row.`{name}`") for name, kind in docs.dtypes if "map<" not in kind]
     # Copies collapse before the shuffle, in which the rows then meet those that stay.
-    first = rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    first = rows.select("row", "mark", F.xxhash64(*hashable).alias("all")).withColumn("nth", F.row_number().over(one)).filter("nth = 1")
     return first.join(stay.hint("shuffle_hash"), "mark").select("row.*").unionByName(docs.filter(~has_words))
