@@ -4,7 +4,8 @@ Each stage takes all rows its predecessor kept, and all but the last return the
 documents. ``run`` writes every stage as Parquet to the shared folder and reads it again.
 
 The pipeline has no SQL counterpart: the quality score uses hash bins, and the shards are drawn
-at random; the tests compare the stages with brute force.
+at random. The tests compare the operators of the near-duplicate, decontamination, mixing and sharding stages with brute
+force; the quality stage is tested on the share of documents that it keeps.
 """
 
 from __future__ import annotations
