@@ -49,7 +49,6 @@ from lustra.llm.texts import (
     runs,
     text_bytes,
     window_hashes,
-    window_starts,
     word_hashes,
 )
 from lustra.operators.lookup import GROUP_ROWS, build_lookup
