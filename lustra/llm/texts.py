@@ -1,7 +1,7 @@
 """Words and their hashes, and the blockwise exchange that the text operators share.
 
 An operator that compares windows of all documents works on *blocks*: groups of documents of
-a few megabytes, by a hash of the id. A block sends the hashes it holds to the buckets they
+a few megabytes, by a hash of id and text. A block sends the hashes it holds to the buckets they
 belong to, a bucket sums or compares what all blocks sent, and answers each block. Spark deals
 out blocks, requests and replies by shuffles; numpy works inside one block or bucket. A hot
 document, line or passage costs one entry per block and bucket, whatever its number of copies
@@ -26,10 +26,10 @@ BUCKET_ENTRIES = 1 << 20
 #: Texts are hashed in runs of about this many bytes, which bounds the temporary arrays.
 RUN_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd step between the positions of a word.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW_BASE = np.uint64(0xD1342543DE82EF95)
 _CHECK_BASE = np.uint64(0xAF251AF3B0F025B5)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _byte_codes(lower: bool) -> np.ndarray:
@@ -43,17 +43,6 @@ def _byte_codes(lower: bool) -> np.ndarray:
 
 
 _CODES = {lower: _byte_codes(lower) for lower in (False, True)}
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept for the next call."""
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n, RUN_BYTES), base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -78,19 +67,23 @@ def runs(texts: list[bytes], size: int = RUN_BYTES) -> Iterator[tuple[int, int]]
 
 
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, one text after the other, and the words of each text."""
+    """64-bit hashes of all words, one text after the other, and the words of each text.
+
+    A word's hash is the sum of one mixed value for each of its bytes, told by byte and position. It has no algebra by which
+    words of equal hashes could be made up, as a polynomial modulo a power of two has.
+    """
     parts, counts = [], []
     codes = _CODES[lower]
     for first, last in runs(texts):
         data = np.frombuffer(b" ".join([*texts[first:last], b""]), np.uint8)
-        up, down = _power_tables(len(data))
         terms = codes[data]
         edges = np.flatnonzero(np.diff(terms != 0, prepend=False, append=False))
         starts, ends = edges[::2], edges[1::2]
-        terms *= up
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         if len(starts):
-            parts.append(mixed((sums[ends] - sums[starts]) * down[starts]))
+            lengths = ends - starts
+            inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            values = mixed(terms[terms != 0] + inside.astype(np.uint64) * _STEP)
+            parts.append(mixed(np.add.reduceat(values, np.cumsum(lengths) - lengths)))
         limits = np.cumsum([len(t) + 1 for t in texts[first:last]])
         counts.append(np.diff(np.searchsorted(starts, limits), prepend=0))
     hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -131,10 +124,13 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 def blocked(
     docs: DataFrame, id_col: str, text_col: str, total: int, *more: Column, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """``block, doc, body`` and ``more``: texts as bytes, dealt to blocks by a hash of the id."""
+    """``block, doc, body`` and ``more``: texts as bytes, dealt to blocks by a hash of id and text.
+
+    The text spreads rows that share an id or have none; the id spreads copies of a text. Ids are whole numbers.
+    """
     n = max(1, -(-total // block_bytes))
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int").alias("block"),
         F.col(id_col).cast("long").alias("doc"),
         F.col(text_col).cast("string").cast("binary").alias("body"),
         *more,
@@ -147,12 +143,13 @@ def bucket_bits(total: int, bytes_per_entry: int = 6) -> int:
 
 
 def bucket_slices(keys: np.ndarray, bits: int) -> Iterable[tuple[int, slice]]:
-    """Ranges of sorted 64-bit keys with the same top bits."""
-    if not bits:
-        return [(0, slice(0, len(keys)))] if len(keys) else []
-    limits = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    ends = [*limits[1:].tolist(), len(keys)]
-    return [(b, slice(i, j)) for b, (i, j) in enumerate(zip(limits.tolist(), ends, strict=True)) if j > i]
+    """Ranges of sorted 64-bit keys with the same top bits. The work follows the keys, not the number of buckets."""
+    if not len(keys):
+        return []
+    tops = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    starts = np.concatenate([[0], np.flatnonzero(tops[1:] != tops[:-1]) + 1])
+    ends = [*starts[1:].tolist(), len(keys)]
+    return [(b, slice(i, j)) for b, i, j in zip(tops[starts].tolist(), starts.tolist(), ends, strict=True)]
 
 
 def fragments(keys: np.ndarray, bits: int) -> np.ndarray:
