@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lustra.llm.texts import WHITE_CHARS
+from lustra.operators.quantiles import column_quantiles, group_quantiles
 from lustra.session import materialize
 
 #: Bins of the hashed n-grams: the size of the model, whatever the corpus.
@@ -43,8 +44,8 @@ PRIOR = 10.0
 SPREADS = 8.0
 #: A group's middle is mixed with that of all documents, which counts as so many. Smaller groups have no own.
 GROUP_PRIOR = 3
-#: Ranks of the middle and the spread are exact to one in so many.
-RANKS = 10_000
+#: Terms of a score are summed as multiples of one in so many.
+FRACTION = float(1 << 30)
 #: Spread at least, for tables whose texts are nearly all alike.
 LEAST_SPREAD = 0.005
 MIN_WORDS = 50
@@ -102,31 +103,36 @@ class CountedRatio:
     raw: tuple[int, ...]
     target: tuple[int, ...]
 
-    def scores(self, prior: float) -> tuple[Column, dict[str, Column]]:
-        """Mean log ratio of the n-grams in ``runs``, bins of a text with their counts, next to the other texts.
+    def scores(self, texts: DataFrame, prior: float) -> DataFrame:
+        """Mean log ratio of each text's n-grams to the other texts: ``bins`` in order and ``ends`` are replaced.
 
         ``trusted`` is the score of a text whose n-grams are part of the trusted counts, and ``other`` that
-        of one whose n-grams are not. Both are part of the raw counts. The score uses the columns told.
+        of one whose n-grams are not. Both are part of the raw counts. All other columns are carried
+        along with each run of a bin, so there should be no text among them. The terms are summed as whole multiples of
+        1 / ``FRACTION``, so their order does not matter.
         """
+        carried = [c for c in texts.columns if c not in ("bins", "ends")]
         if not sum(self.target):
-            return F.struct(F.lit(0.0).alias("trusted"), F.lit(0.0).alias("other")), {}
+            return texts.select(*carried, F.lit(0.0).alias("trusted"), F.lit(0.0).alias("other"))
         raw, target = (_listed([str(c) for c in counts]) for counts in (self.raw, self.target))
         none, size, total = F.lit(0.0), 2.0 * F.col("n") - 1.0, float(sum(self.target))
         all_others = F.greatest(float(sum(self.raw)) - size, F.lit(1.0))
+        place = F.get("bins", F.col("end"))
+        length = F.col("end") - F.coalesce(F.get("ends", F.col("nth") - 1), F.lit(-1))
+        runs = (
+            texts.withColumn("number", F.monotonically_increasing_id())
+            .select("*", F.posexplode_outer("ends").alias("nth", "end"))
+            .select("number", *carried, length.cast("double").alias("times"), F.get(raw, place).alias("raw"), F.get(target, place).alias("target"))
+        )
+        others = F.greatest(F.col("raw") - F.col("times"), none)
 
-        def mean(seen: Callable[[Column], Column], share: Column) -> Column:
-            def add(acc: Column, run: Column) -> Column:
-                others = F.greatest(F.get(raw, run["bin"]) - run["n"], none)
-                return acc + run["n"] * F.log((seen(run) + prior) / (others * share + prior))
+        def mean(seen: Column, trusted: Column) -> Column:
+            term = F.col("times") * F.log((seen + prior) / (others * (trusted / all_others) + prior))
+            return F.coalesce(F.sum(F.floor(term * FRACTION + 0.5)) / (FRACTION * size), none)
 
-            return F.when(F.col("n") > 0, F.aggregate("runs", none, add) / size).otherwise(none)
-
-        trusted = mean(lambda run: F.greatest(F.get(target, run["bin"]) - run["n"], none), F.col("own_share"))
-        other = mean(lambda run: F.get(target, run["bin"]), F.col("share"))
-        return F.struct(trusted.alias("trusted"), other.alias("other")), {
-            "own_share": F.greatest(total - size, none) / all_others,
-            "share": total / all_others,
-        }
+        own = mean(F.greatest(F.col("target") - F.col("times"), none), F.greatest(total - size, none))
+        other = mean(F.col("target"), F.lit(total))
+        return runs.groupBy("number", *carried).agg(own.alias("trusted"), other.alias("other")).drop("number")
 
 
 def fit_ratio(
@@ -178,10 +184,9 @@ def count_bins(
 def _with_repeats(df: DataFrame) -> DataFrame:
     """Add ``n_repeat_words``: words in 3-word windows that occur more than once in the text."""
     longs, placed = F.array().cast("array<bigint>"), "array<struct<g:bigint,i:int>>"
-    first, _ = _followers("h", "n", 2)
-    _, third = _followers("h", "n", 2)
-    second = F.slice("h", F.lit(2), F.greatest(F.col("n") - 2, F.lit(0)))
-    grams = F.zip_with(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)), third, lambda a, b: F.xxhash64(a, b))
+    # Two neighbouring pairs are three words.
+    fewer = F.greatest(F.col("n") - 2, F.lit(0))
+    grams = F.zip_with(F.slice("pairs", F.lit(1), fewer), F.slice("pairs", F.lit(2), fewer), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn("grams", F.when(F.col("n") >= 3, grams).otherwise(longs))
     in_order = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     repeats = F.size(F.array_distinct("grams")) < F.size("grams")
@@ -196,14 +201,14 @@ def _with_repeats(df: DataFrame) -> DataFrame:
 
 
 def with_runs(df: DataFrame, bins: int) -> DataFrame:
-    """Add ``runs``: the bins of the n-grams with their counts."""
-    in_order = F.sort_array(F.transform(F.concat("h", "pairs"), lambda x: F.pmod(x, F.lit(bins)).cast("int")))
-    df = df.withColumn("bins", in_order)
-    ends = F.filter(F.transform("bins", lambda b, i: F.when(~F.get("bins", i + 1).eqNullSafe(b), i)), lambda i: i.isNotNull())
-    df = df.withColumn("ends", ends)
-    before = F.concat(F.array(F.lit(-1)), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))))
-    run = lambda e, b: F.struct(F.get("bins", e).alias("bin"), (e - b).cast("double").alias("n"))
-    return df.withColumn("runs", F.when(F.size("ends") > 0, F.zip_with("ends", before, run)))
+    """Add ``bins``, those of the n-grams in order, and ``ends``, the last place of each bin.
+
+    No item of the arrays can be null, so Spark sorts them as plain integers.
+    """
+    of_gram = lambda x: F.coalesce(F.pmod(x, F.lit(bins)).cast("int"), F.lit(0))
+    df = df.withColumn("bins", F.sort_array(F.transform(F.concat("h", "pairs"), of_gram)))
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.size("bins") - 1)).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("ends", F.filter(places, lambda i: ~F.get("bins", i).eqNullSafe(F.get("bins", i + 1))))
 
 
 def _measured(
@@ -258,7 +263,7 @@ def judge_against(
     id_col: str = "doc_id",
     text_col: str = "text",
     group_col: str | None = None,
-    columns: Sequence[str] = ("*",),
+    columns: Sequence[str | Column] = ("*",),
     prior: float = PRIOR,
     spreads: float = SPREADS,
     min_words: int = MIN_WORDS,
@@ -267,11 +272,10 @@ def judge_against(
     """``row`` (a struct of the named columns) and the verdict columns, one row for each row of ``docs``.
 
     ``model`` counts the bins of these documents and of those in ``trusted``. The ids of the latter meet the
-    scored rows by a shuffle, and the rows are written once, so ``columns`` should name no text that is not
-    wanted. Middles and spread are those of all documents of ``min_words`` words, copies counted once; only they
+    scored rows by a shuffle, and the named columns are carried along with each n-gram, so there should be no text
+    among them. Middles and spread are exact, those of all documents of ``min_words`` words, copies counted once; only they
     reach the driver, one middle for each group of ``GROUP_PRIOR`` documents.
     """
-    score, shares = model.scores(prior)
     ids = trusted.select(F.col(id_col).alias("id")).distinct().withColumn("is_trusted", F.lit(True)).hint("merge")
     asked = docs.select(
         F.struct(*columns).alias("row"),
@@ -279,10 +283,11 @@ def judge_against(
         F.coalesce(F.col(group_col).cast("string") if group_col else F.lit(None), F.lit("")).alias("group"),
         F.col(text_col).alias("text"),
     )
-    measured = _measured(asked, "text", ["row", "id", "group"], lambda df: with_runs(df, len(model.raw)).withColumns(shares), scores=score)
-    own = F.when(F.col("is_trusted"), F.col("scores.trusted")).otherwise(F.col("scores.other"))
+    measured = _measured(asked, "text", ["row", "id", "group"], lambda df: with_runs(df, len(model.raw)), n=F.col("n"), bins=F.col("bins"), ends=F.col("ends"))
+    own = F.when(F.col("is_trusted"), F.col("trusted")).otherwise(F.col("other"))
     scored = materialize(
-        measured.withColumn("id", F.col("row.id"))
+        model.scores(measured, prior)
+        .withColumn("id", F.col("row.id"))
         .join(ids, "id", "left")
         .select(
             F.col("row.row").alias("row"),
@@ -294,33 +299,39 @@ def judge_against(
         "quality",
     )
 
-    counted = scored.filter(F.col("n_words") >= min_words).select("group", "log_ratio", *COUNTS).distinct()
-    middle_of = lambda x: F.percentile_approx(x, 0.5, RANKS)
-    middle = counted.agg(middle_of("log_ratio").alias("m")).first()["m"] or 0.0
-    groups = counted.groupBy("group").agg(middle_of("log_ratio").alias("m"), F.count(F.lit(1)).alias("n"))
+    texts = scored.filter(F.col("n_words") >= min_words).select("group", "log_ratio", *COUNTS).distinct()
+    counted = materialize(texts.select("group", "log_ratio"), "quality-scores")
+    middle = column_quantiles(counted, {"m": F.col("log_ratio")}, [0.5])["m"][0] or 0.0
+    sizes = counted.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= GROUP_PRIOR)
+    groups = group_quantiles(counted, "group", F.col("log_ratio"), [0.5]).withColumnRenamed("key", "group")
     own_middle = [
         F.lit(x)
-        for r in groups.filter(F.col("n") >= GROUP_PRIOR).collect()
+        for r in groups.join(sizes, "group").select("group", "n", F.get("quantiles", F.lit(0)).alias("m")).collect()
         for x in (r["group"], (r["n"] * r["m"] + GROUP_PRIOR * middle) / (r["n"] + GROUP_PRIOR))
     ]
     centre = F.lit(middle)
     if own_middle:
         centre = F.coalesce(F.element_at(F.create_map(*own_middle), F.col("group")), centre)
-    distance = middle_of(F.abs(F.col("log_ratio") - centre))
     # 1.4826 makes the middle distance of a normal distribution its standard deviation.
-    spread = max(LEAST_SPREAD, 1.4826 * (counted.agg(distance.alias("d")).first()["d"] or 0.0))
+    distance = column_quantiles(counted, {"d": F.abs(F.col("log_ratio") - centre)}, [0.5])["d"][0] or 0.0
+    spread = max(LEAST_SPREAD, 1.4826 * distance)
     near = F.col("log_ratio") >= centre - spreads * spread
     return scored.withColumn("kept", ~F.col("base_failed") & near).drop("group")
 
 
-def kept_rows(judged: DataFrame) -> DataFrame:
-    """The rows of ``judge_quality`` that are kept, with the columns of the documents.
+def kept_rows(
+    docs: DataFrame, trusted: DataFrame, model: CountedRatio, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge_against`` keeps, unchanged.
 
-    The number of the row holds the filter above the verdict. Spark would push ``kept`` down to the
-    scan otherwise, with every shared column copied into each place that uses it.
+    A verdict depends on id, text and group alone. It comes back to the rows by 96 bits of hashes of these, so no text is
+    carried through the scoring.
     """
-    numbered = judged.withColumn("__at", F.monotonically_increasing_id())
-    return numbered.filter("kept AND __at >= 0").select("row.*")
+    told_apart = [F.col(id_col), F.col(text_col), F.col(text_col).isNull(), *([F.col(group_col)] if group_col else [])]
+    marks = [F.xxhash64(*told_apart).alias("mark"), F.hash(*told_apart).alias("check")]
+    judged = judge_against(docs, trusted, model, id_col, text_col, group_col, marks)
+    kept = judged.filter("kept").select("row.*").distinct()
+    return docs.select(F.struct("*").alias("row"), *marks).join(kept, ["mark", "check"], "left_semi").select("row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -304,3 +304,38 @@ def test_null_ids_and_repeated_rows(spark):
     removed = sorted((r["doc"] or 99, r["n_removed"]) for r in repeats.remove_repeats(df).collect())
     assert removed == [(3, 0), (3, 0), (9, 40), (99, 0), (99, 40)]
     assert hashlib.sha256(b"").hexdigest() == df.select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_words_of_equal_polynomial_hashes_differ():
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - x for x in bits]
+    one, other = (bytes(97 + (x ^ flip) for x in bits) for flip in (0, 1))
+    found, counts = helpers.word_hashes([one + b" " + other, b"", b"  Ab ab\tb ", one], lower=True)
+    assert counts.tolist() == [2, 0, 3, 1]
+    assert found[0] != found[1] and found[0] == found[5] and found[2] == found[3] != found[4]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 24])
+def test_bucket_slices_cover_the_keys(bits):
+    keys = np.sort(np.random.default_rng(bits).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    slices = list(helpers.bucket_slices(keys, bits))
+    assert [k for _, s in slices for k in keys[s]] == keys.tolist()
+    assert all({int(k) >> (64 - bits) for k in keys[s]} == {b} for b, s in slices)
+    assert not helpers.bucket_slices(keys[:0], bits)
+
+
+def test_rows_of_one_id_are_spread(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(200)], "doc_id long, text string")
+    assert helpers.blocked(df, "doc_id", "text", 80, block_bytes=10).select("block").distinct().count() == 8
+
+
+def test_kept_rows_are_whole(spark):
+    draw = random.Random(7)
+    rows = [(None if i % 5 == 0 else i // 2, "x", " ".join(f"w{draw.randint(0, 300)}" for _ in range(80)), i) for i in range(40)]
+    rows += [(99, "x", "too short", 40), (99, None, None, 41), rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, mark long")
+    trusted = df.filter("doc_id % 2 = 0").select("doc_id")
+    kept = quality.kept_rows(df, trusted, quality.count_bins(df, trusted), group_col="lang")
+    assert kept.columns == df.columns
+    assert sorted(r["mark"] for r in kept.collect()) == sorted([*range(40), rows[3][3]])
