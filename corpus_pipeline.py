@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the quality rules; the model compares the trusted ones with all."""
     trusted = quality.trusted_ids(queries.table(spark, sf_dir, "labels"))
     model = quality.count_bins(docs, trusted)
-    return quality.kept_rows(quality.judge_against(docs, trusted, model, group_col="lang"))
+    return quality.kept_rows(docs, trusted, model, group_col="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
