@@ -25,11 +25,10 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lustra.llm.texts import WHITE_CHARS
-from lustra.operators.quantiles import column_quantiles, group_quantiles
 from lustra.session import materialize
 
 #: Bins of the hashed n-grams: the size of the model, whatever the corpus.
@@ -44,6 +43,8 @@ PRIOR = 10.0
 SPREADS = 8.0
 #: A group's middle is mixed with that of all documents, which counts as so many. Smaller groups have no own.
 GROUP_PRIOR = 3
+#: Middles and spread are told in steps of one in so many.
+STEPS = 100_000
 #: Terms of a score are summed as multiples of one in so many.
 FRACTION = float(1 << 30)
 #: Spread at least, for tables whose texts are nearly all alike.
@@ -256,6 +257,18 @@ def judge_quality(
     )
 
 
+def middles(scores: DataFrame, group: Column, value: Column) -> DataFrame:
+    """``group, m, n``: the middle value of each group, the lower of two, and its rows.
+
+    Values are counted in steps of 1 / ``STEPS`` with map-side combine; the window runs over the steps, of which a group has
+    as many as the range of a log ratio allows, whatever its rows. The order of the rows does not matter.
+    """
+    steps = scores.groupBy(group.alias("group"), F.floor(value * STEPS + 0.5).alias("step")).agg(F.count(F.lit(1)).alias("here"))
+    whole = Window.partitionBy("group")
+    placed = steps.withColumns({"upto": F.sum("here").over(whole.orderBy("step")), "n": F.sum("here").over(whole)})
+    return placed.filter(2 * F.col("upto") >= F.col("n")).groupBy("group", "n").agg((F.min("step") / STEPS).alias("m"))
+
+
 def judge_against(
     docs: DataFrame,
     trusted: DataFrame,
@@ -273,7 +286,7 @@ def judge_against(
 
     ``model`` counts the bins of these documents and of those in ``trusted``. The ids of the latter meet the
     scored rows by a shuffle, and the named columns are carried along with each n-gram, so there should be no text
-    among them. Middles and spread are exact, those of all documents of ``min_words`` words, copies counted once; only they
+    among them. Middles and spread are those of all documents of ``min_words`` words, copies counted once; only they
     reach the driver, one middle for each group of ``GROUP_PRIOR`` documents.
     """
     ids = trusted.select(F.col(id_col).alias("id")).distinct().withColumn("is_trusted", F.lit(True)).hint("merge")
@@ -301,19 +314,19 @@ def judge_against(
 
     texts = scored.filter(F.col("n_words") >= min_words).select("group", "log_ratio", *COUNTS).distinct()
     counted = materialize(texts.select("group", "log_ratio"), "quality-scores")
-    middle = column_quantiles(counted, {"m": F.col("log_ratio")}, [0.5])["m"][0] or 0.0
-    sizes = counted.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= GROUP_PRIOR)
-    groups = group_quantiles(counted, "group", F.col("log_ratio"), [0.5]).withColumnRenamed("key", "group")
+    everywhere = middles(counted, F.lit(""), F.col("log_ratio")).first()
+    middle = everywhere["m"] if everywhere else 0.0
     own_middle = [
         F.lit(x)
-        for r in groups.join(sizes, "group").select("group", "n", F.get("quantiles", F.lit(0)).alias("m")).collect()
+        for r in middles(counted, F.col("group"), F.col("log_ratio")).filter(F.col("n") >= GROUP_PRIOR).collect()
         for x in (r["group"], (r["n"] * r["m"] + GROUP_PRIOR * middle) / (r["n"] + GROUP_PRIOR))
     ]
     centre = F.lit(middle)
     if own_middle:
         centre = F.coalesce(F.element_at(F.create_map(*own_middle), F.col("group")), centre)
     # 1.4826 makes the middle distance of a normal distribution its standard deviation.
-    distance = column_quantiles(counted, {"d": F.abs(F.col("log_ratio") - centre)}, [0.5])["d"][0] or 0.0
+    far = middles(counted, F.lit(""), F.abs(F.col("log_ratio") - centre)).first()
+    distance = far["m"] if far else 0.0
     spread = max(LEAST_SPREAD, 1.4826 * distance)
     near = F.col("log_ratio") >= centre - spreads * spread
     return scored.withColumn("kept", ~F.col("base_failed") & near).drop("group")
